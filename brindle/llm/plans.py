@@ -4,13 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import heavy_hitters, packing, term_frequency
+from brindle.llm import eval_leaks, heavy_hitters, nearest_vectors, packing, pivot_clusters, term_frequency
 from brindle.session import table
 
 CAPACITY = 8192
+DIM = 32
+
+
+def _groups(spark: SparkSession, d: str) -> tuple[pivot_clusters.Clusters, dict[int, int]]:
+    """Clusters of points, and the gauss component of each cluster that is a group.
+
+    Similar means within 1.2 times the usual distance of two points of one component, by the
+    spreads of the earlier fit; a cluster of under 0.2 % of the points is no group. gauss has
+    one row a component, 27 at every size.
+    """
+    gauss = table(spark, d, "gauss").select("cluster", "mu", "sigma2").na.drop().limit(10_000).toPandas()
+    gauss = gauss[gauss["mu"].map(len) == DIM]
+    spread = np.median([np.sum(s) for s in gauss["sigma2"]])
+    model = pivot_clusters.fit(table(spark, d, "points"), "row_id", "x", DIM, float(1.2 * np.sqrt(2 * spread)))
+    mu = np.stack(gauss["mu"].to_numpy())
+    near = ((model.centres[:, None, :] - mu[None]) ** 2).sum(axis=2).argmin(axis=1)
+    least = max(2, 0.002 * model.total)
+    return model, {c: int(gauss["cluster"].iloc[near[c]]) for c in range(len(model.centres)) if model.sizes[c] >= least}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    model, component = _groups(spark, d)
+    found = pivot_clusters.assign(table(spark, d, "points"), "row_id", "x", model, rest=False)
+    named = F.element_at(F.create_map(*[F.lit(v) for pair in component.items() for v in pair]), F.col("cluster").cast("int"))
+    return found.select("row_id", named.alias("cluster")).filter(F.col("cluster").isNotNull())
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """All clusters, those of far points too, with their sizes and three most typical members."""
+    model, _ = _groups(spark, d)
+    return pivot_clusters.describe(pivot_clusters.assign(table(spark, d, "points"), "row_id", "x", model))
+
+
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors.nearest(table(spark, d, "points"), "row_id", "x", DIM, 5, reach=2.0)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors.pairs(p3_nearest(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +82,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d), CAPACITY)
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).filter("kind = 'verbatim'").select("item_id", "doc_id").distinct()
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
+    "p3_found": p3_found,
+    "p3_nearest": p3_nearest,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p6_found": p6_found,
@@ -50,6 +102,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
 }
 
 _TERMS = """SELECT field, fid, count(*) AS occurrences, count(DISTINCT row_id) AS records,
