@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import eval_leaks, heavy_hitters, nearest_vectors, packing, pivot_clusters, term_frequency
+from brindle.llm import eval_leaks, heavy_hitters, nearest_vectors, packing, pivot_clusters, subject_areas, term_frequency
 from brindle.session import table
 
 CAPACITY = 8192
@@ -90,6 +90,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).filter("kind = 'verbatim'").select("item_id", "doc_id").distinct()
 
 
+def p9_areas(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas.subjects(table(spark, d, "documents"), table(spark, d, "area_examples"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_areas(spark, d).select("doc_id", "area").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
@@ -104,6 +112,8 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_areas": p9_areas,
 }
 
 _TERMS = """SELECT field, fid, count(*) AS occurrences, count(DISTINCT row_id) AS records,

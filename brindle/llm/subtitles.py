@@ -21,11 +21,11 @@ SUNG = re.compile(r"(?i)\bl[a4] l[a4],? l[a4],? ?(?:l[a4],? ?)*")
 SPEAKER = re.compile(r"^[-–— ]*(?:[^\W\d_a-zß-öø-ÿ][^a-zß-öø-ÿ:\s]{2,19} ?:\s+)+(?=[^\n]*[a-zß-öø-ÿ])")
 DOMAIN = re.compile(r"(?i)www\.|\bhttps?:|[\w|-]{4,}\.(?:[a-z]{2,8}|[\w|]{6,8})(?![\w.])(?<!\.\.\.)")
 CREDIT = re.compile(
-    r"(?i)\bre ?sync ?: |\bsync and correct|\bsub ?titles by\b|\bsubt\S{1,6}tulos por\b|\buntertitel ?:|\btraduction ?:|\brelecture ?:|\bencoded by\b|\bdownloaded from\b|\bsous-titres? (?:par|de)\b"
+    r"(?i)\bre ?sync ?: |\bsync and correct|\bsub ?titles by\b|\bsubt\S{1,6}tulos por\b|\buntertitel ?:|\btraduction ?:|\brelecture ?:|\bencoded by\b|\bdownloaded from\b|\bsous-titres? (?:par|de)\b|\badvertise your (?:product|brand)|\bbecome a vip\b|\bsupport us and\b"
 )
 #: Characters that a line of plain speech lacks: markup, sounds, labels, sites.
 MARKED = re.compile(r"[<{\[(♪♫*#~:]|\w\.\w|â™ª|ÔÖ¬|\b[Ll]a,? la\b")
-CREDITS = ("subt", "sync", "relecture", "traduction", "untertitel", "downloaded", "encoded", "sous-t")
+CREDITS = ("subt", "sync", "relecture", "traduction", "untertitel", "downloaded", "encoded", "sous-t", "advertise", "vip", "support us")
 
 
 def fold(text: str) -> bytes:
@@ -59,8 +59,8 @@ def _spoken(body: list[str]) -> list[str]:
     if MARKED.search(text):
         text = SOUNDS.sub(" ", TAGS.sub("", text))
         text = SUNG.sub(" ", text) if "la" in text else text
-        body = [SPEAKER.sub("", line) if ":" in line else line for line in text.split("\n") if not ("." in line or ":" in line or " by " in line) or not is_advert(line)]
-    elif " by " in text or " von " in text:
+        body = [SPEAKER.sub("", line) if ":" in line else line for line in text.split("\n") if not ("." in line or ":" in line or " " in line) or not is_advert(line)]
+    elif " by " in text or " or " in text or " us " in text or " VIP " in text:
         body = [line for line in body if not is_advert(line)]
     return [line for line in (x.strip(STRIP) for x in body) if len(line) > 1 or line.isalnum()]
 
