@@ -6,21 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import core_problems
+from brindle.plans import core_problems, features
 
-MODULES = [core_problems]
+BOOKS = [core_problems, features.B]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for m in MODULES:
+    for m in BOOKS:
         found |= m.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for m in MODULES:
+    for m in BOOKS:
         found |= m.ORACLES
     return found
 
