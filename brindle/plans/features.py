@@ -258,7 +258,7 @@ _codes("quantile_custom", f"least(floor({_cdf_sql('v', 0.0, 0.125)} * 16), 15)",
 
 
 @query(f"""WITH {DENSE_SQL}, v AS (SELECT row_id, unnest(x) AS v FROM dense)
-  SELECT row_id, round(sum(CASE WHEN v >= 0 THEN 1.0 / 3 ELSE -1.0 / 3 END), 4) AS one, round(sum(sign(v) * CASE WHEN abs(v) < 0.5 THEN 0.25 ELSE 0.75 END), 4) AS two FROM v GROUP BY row_id""")
+  SELECT row_id, round(sum(CASE WHEN v >= 0 THEN 1.0 / 3 ELSE -1.0 / 3 END), 4) + 0 AS one, round(CAST(sum(sign(v) * CASE WHEN abs(v) < 0.5 THEN 0.25 ELSE 0.75 END) AS DOUBLE), 4) + 0 AS two FROM v GROUP BY row_id""")
 def lowbit_quantize(spark: SparkSession, d: str) -> DataFrame:
     one, two = V.total(F.transform("x", lambda v: S.lowbit(v, 1))), V.total(F.transform("x", lambda v: S.lowbit(v, 2)))
     return ads.dense(spark, d).select("row_id", F.round(one, 4).alias("one"), F.round(two, 4).alias("two"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import core_problems, features
+from brindle.plans import core_problems, features, relational
 
-BOOKS = [core_problems, features.B]
+BOOKS = [core_problems, features.B, relational.B]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
