@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import core_problems, features, relational
+from brindle.plans import core_problems, features, models, relational
 
-BOOKS = [core_problems, features.B, relational.B]
+BOOKS = [core_problems, features.B, relational.B, models.B]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["fm_hourly"](spark, sf_dir)
