@@ -35,6 +35,10 @@ WINDOW = 4
 FRAMES = 2
 #: Words of the raw file, times and numbers among them, within which a passage shows two names or units.
 NEAR = 40
+#: Long template words that must stand within NEAR words where an item is asked again with names and units of its own.
+TELLING = 5
+#: Share of the items in which a template word must stand.
+FEW = 0.02
 #: Items whose index is sent to the executors at a time.
 BLOCK = 20_000
 LEAKS = "item_id bigint, doc_id bigint, kind string, words int, at int"
@@ -48,6 +52,8 @@ def plain(text: str) -> bytes:
 def tokens(words: list[str]) -> tuple[list[bytes], list[int]]:
     """Folded words that are not empty, numbers as # and their digits; and the position of each among the words."""
     out, at = [], []
+    if not words:
+        return out, at
     for i, (w, f) in enumerate(zip(words, fold(" ".join(words)).split(b" "), strict=True)):
         if DIGIT.search(w):
             n = w.strip(EDGES)
@@ -68,6 +74,7 @@ class Index:
     toks: list[list[bytes]] = field(default_factory=list)
     at: list[list[int]] = field(default_factory=list)
     evidence: frozenset[bytes] = frozenset()
+    telling: frozenset[bytes] = frozenset()
     frames: frozenset[bytes] = frozenset()
     known: frozenset[bytes] = frozenset()
     windows: dict[tuple[bytes, ...], list[tuple[int, int]]] = field(default_factory=dict)
@@ -79,7 +86,8 @@ class Index:
 
 
 def build_index(rows: list[tuple[int, str]]) -> Index:
-    """Index of items. Names are words with a capital inside a sentence, units words that follow a number, for half of their places at least."""
+    """Index of items. Names are words with a capital inside a sentence, units words that follow a number, for half of their
+    places at least; words in few of many items are values like those."""
     ix = Index()
     slot: Counter[bytes] = Counter()
     seen: Counter[bytes] = Counter()
@@ -97,8 +105,10 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
         ix.words.append(words)
         ix.toks.append(toks)
         ix.at.append(at)
-    slots = {t for t, n in slot.items() if 2 * n >= seen[t]}
+    items_with = Counter(t for toks in ix.toks for t in set(toks))
+    slots = {t for t, n in seen.items() if 2 * slot[t] >= n or items_with[t] <= FEW * len(ix.toks)}
     ix.evidence = frozenset(t for t in slots if len(t) > 3)
+    ix.telling = frozenset(t for t in seen if t not in slots and t[:1] != b"#" and len(t) > 4)
     ix.known = frozenset(seen)
     ix.frames = frozenset(t for t in seen if t not in slots and t[:1] != b"#")
     windows: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
@@ -194,17 +204,23 @@ class Passage:
 
 
 def _may_speak(ix: Index, text: str) -> bool:
-    """Whether two names or units of the items stand near each other, as in any passage; most documents are done here."""
+    """Whether names or units of the items stand near each other, as in any passage, or many long words of their templates,
+    as where an item is asked again; most documents have neither and are done here."""
     flat = fold(TAGS.sub("", text) if "<" in text or "{" in text else text).split()
-    found = ix.evidence.intersection(flat)
-    if len(found) < 2:
+    here = set(flat)
+    return _close(flat, ix.evidence & here, 2) or _close(flat, ix.telling & here, TELLING)
+
+
+def _close(flat: list[bytes], found: set[bytes] | frozenset[bytes], want: int) -> bool:
+    """Whether ``want`` different words of found stand within NEAR words."""
+    if len(found) < want:
         return False
-    last, at = b"", -NEAR
+    last: dict[bytes, int] = {}
     for i, t in enumerate(flat):
         if t in found:
-            if t != last and i - at <= NEAR:
+            last[t] = i
+            if len(last) >= want and sum(i - at <= NEAR for at in last.values()) >= want:
                 return True
-            last, at = t, i
     return False
 
 

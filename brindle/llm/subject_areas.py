@@ -156,6 +156,8 @@ def fit(words: DataFrame, examples: list[tuple[str, str, str | None]], passes: i
     langs = sorted({x for _, _, x in examples if x}) or [""]
     vocabulary, files = _document_counts(words)
     v = len(vocabulary)
+    if not v or not areas:
+        return Model(np.empty(0, np.int64), areas, np.empty(0, np.int64), np.zeros((0, len(areas))))
     codes = _Codes()
     by_area, by_lang = np.zeros((len(areas), v)), np.zeros((len(langs), v))
     for area, text, lang in examples:
@@ -183,8 +185,9 @@ def fit(words: DataFrame, examples: list[tuple[str, str, str | None]], passes: i
         share = topics[z] / np.maximum(topics.sum(axis=0), 1e-9)
         lead = np.argsort(-np.where(share > 0.5, np.log(lift[z]) * np.sqrt(topics[z]), -np.inf), kind="stable")[:leading]
         lead = lead[share[lead] > 0.5]
-        of = p[:, lead][:, seen[lead] > 0].sum(axis=1) if len(lead) else np.zeros(len(areas))
-        if of.sum() and of.max() > 0.5 * of.sum():
+        lead = lead[seen[lead] > 0]
+        of = (p * (1 - even))[:, lead].sum(axis=1)
+        if of.max() > 0.3 * max(1, len(lead)):
             stands_for[z] = int(of.argmax())
     total = np.maximum(topics.sum(axis=0), 1e-9)
     weight = np.stack([topics[stands_for == a].sum(axis=0) / total for a in range(len(areas))], axis=1) if areas else np.zeros((v, 0))
@@ -239,7 +242,7 @@ def areas_of(words: DataFrame, model: Model, share: float = 0.2, clear: float =
         for b in batches:
             terms, t_len = _flat(b.column(1))
             ends, e_len = _flat(b.column(2))
-            if not len(ends) or not len(model.vocabulary) or not len(terms):
+            if not len(ends) or not len(model.vocabulary) or not len(terms) or not len(names):
                 continue
             t_start = np.cumsum(t_len) - t_len
             doc = np.repeat(np.arange(b.num_rows), e_len)
