@@ -49,6 +49,11 @@ def plain(text: str) -> bytes:
     return fold("".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
 
 
+def split_h(word: str) -> bytes:
+    """fold() of a word in which h may have been taken for li."""
+    return fold(word.replace("li", "h"))
+
+
 def tokens(words: list[str]) -> tuple[list[bytes], list[int]]:
     """Folded words that are not empty, numbers as # and their digits; and the position of each among the words."""
     out, at = [], []
@@ -153,6 +158,8 @@ class Passage:
         u, v = self.iw[self.ia[i]], self.dw[self.da[j]]
         if not u.isascii() and plain(u) == plain(v):
             return True
+        if ("li" in u or "li" in v) and split_h(u) == split_h(v):
+            return True
         return (_odd(u) or _odd(v)) and len(a) > 3 and _edits(a, b)
 
     def step(self, i: int, j: int, way: int) -> tuple[int, int]:
@@ -168,7 +175,7 @@ class Passage:
             u = "".join(self.iw[self.ia[x] : self.ia[x + a - 1] + 1])
             v = "".join(self.dw[self.da[y] : self.da[y + b - 1] + 1])
             p = fold(u)
-            if len(p) > 2 and p == fold(v) and DIGIT.findall(u) == DIGIT.findall(v):
+            if len(p) > 2 and (p == fold(v) or split_h(u) == split_h(v)) and DIGIT.findall(u) == DIGIT.findall(v):
                 return a, b
         return 0, 0
 

@@ -121,7 +121,13 @@ _TERMS = """SELECT field, fid, count(*) AS occurrences, count(DISTINCT row_id) A
          WHEN count(DISTINCT row_id) > 0.5 * (SELECT count(DISTINCT row_id) FROM sparse_long) THEN 'common' END AS mark
     FROM sparse_long WHERE field IS NOT NULL AND fid IS NOT NULL GROUP BY field, fid"""
 
+_PAIRS = """WITH u AS (SELECT row_id, CAST(any_value(x) AS DOUBLE[]) AS x FROM points
+      WHERE row_id IS NOT NULL AND x IS NOT NULL AND len(x) = 32 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 GROUP BY row_id),
+    d AS (SELECT a.row_id AS a, b.row_id AS b, list_distance(a.x, b.x) AS d FROM u a JOIN u b ON a.row_id <> b.row_id WHERE list_distance(a.x, b.x) <= 2.0),
+    r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d)"""
+
 ORACLES = {
+    "p3_found": f"{_PAIRS} SELECT DISTINCT least(a, b) AS row_a, greatest(a, b) AS row_b FROM r WHERE r <= 5",
     "p4_found": "SELECT fid FROM (SELECT fid, count(*) AS n FROM sparse_long WHERE fid IS NOT NULL GROUP BY fid ORDER BY n DESC, fid LIMIT 50)",
     "p4_counts": "SELECT fid, count(*) AS n FROM sparse_long WHERE fid IS NOT NULL GROUP BY fid ORDER BY n DESC, fid LIMIT 50",
     "p6_found": f"SELECT field, fid, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",

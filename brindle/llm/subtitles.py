@@ -11,6 +11,7 @@ STRIP = " \t\ufeff-–—\xa0"
 SAME = bytes.maketrans(b"cfh05", b"etbos")
 #: Cyrillic letters that look like Latin ones, and those (fixed values).
 LOOKALIKES = str.maketrans("АВЕЅІЈКМНОРСТУХаеѕіјорсухкмтһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxkmthdqw")
+MISREAD = re.compile("[ÐÑ].")
 CYRILLIC = re.compile("[\u0400-\u052f]")
 SPACES = re.compile("[\xa0\u2000-\u200a\u202f\u3000]")
 #: Thin signs, which stand for one another and for stray marks, are left out, and so is all punctuation (fixed values).
@@ -28,15 +29,28 @@ MARKED = re.compile(r"[<{\[(♪♫*#~:]|\w\.\w|â™ª|ÔÖ¬|\b[Ll]a,? la\b")
 CREDITS = ("subt", "sync", "relecture", "traduction", "untertitel", "downloaded", "encoded", "sous-t", "advertise", "vip", "support us")
 
 
+def _reread(m: re.Match) -> str:
+    """A Cyrillic letter whose two bytes were read as two letters."""
+    try:
+        return m[0].encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        try:
+            return m[0].encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return m[0]
+
+
 def fold(text: str) -> bytes:
     """Text in signs that survive recognition errors, its white space kept."""
     if not text.isascii():
+        if "Ð" in text or "Ñ" in text:
+            text = MISREAD.sub(_reread, text)
         if CYRILLIC.search(text):
             text = text.translate(LOOKALIKES)
         if SPACES.search(text):
             text = SPACES.sub(" ", text)
     low = text.lower().encode("ascii", "ignore")
-    low = low.replace(b"li", b"h").replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d")
+    low = low.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"cl", b"d")
     return low.translate(SAME, THIN)
 
 

@@ -40,7 +40,7 @@ def test_cues_of_hardly_anything():
 
 
 def test_folding_undoes_recognition_errors():
-    for a, b in (("counted", "c0unfed"), ("kelmar", "kelrnar"), ("barrel", "barreI"), ("wind", "vvind"), ("the", "tlie"), ("gardien", "gаrdіеn")):
+    for a, b in (("counted", "c0unfed"), ("kelmar", "kelrnar"), ("barrel", "barreI"), ("wind", "vvind"), ("bell", "belI"), ("gardien", "gаrdіеn"), ("falfals", "fÐ°lfÐ°ls"), ("ESPAÑA", "ESPAÑA")):
         assert fold(a) == fold(b)
     assert fold("hulzol") != fold("hulba") and fold("Denwen") != fold("Denden")
 
@@ -53,7 +53,7 @@ def found(spark, docs, items=ITEMS, **k):
 
 def test_leaks(spark):
     w = ITEM.split()
-    damaged = "Nobodyin Denwen Iends a ril pirs bef0re Vashkelqua has <b>co</b>unted the 17 kelrnar stored abovc the barrel."
+    damaged = "Nobodyin Denwen Iends a ril pirs bef0re Vashkelqua has <b>co</b>unted the 17 kelrnar stored abovc tlie barreI."
     swapped = " ".join(w).replace("17", "18").replace("just 25", "just 24").replace("stored", "hidden").replace("lends", "sells").replace("Zolpir", "Tovmar")
     docs = [
         (1, srt(chunks(ITEM))),
