@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -222,11 +222,13 @@ def _close(flat: list[bytes], found: set[bytes] | frozenset[bytes], want: int) -
     """Whether ``want`` different words of found stand within NEAR words."""
     if len(found) < want:
         return False
-    last: dict[bytes, int] = {}
+    recent: deque[tuple[int, bytes]] = deque()
     for i, t in enumerate(flat):
         if t in found:
-            last[t] = i
-            if len(last) >= want and sum(i - at <= NEAR for at in last.values()) >= want:
+            recent.append((i, t))
+            while i - recent[0][0] > NEAR:
+                recent.popleft()
+            if len(recent) >= want and len({w for _, w in recent}) >= want:
                 return True
     return False
 
