@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.vectors import content_hash, decode, mixed, pack_rows, source, squared_distances, unpack_rows
+from brindle.llm.vectors import content_hash, decode, mixed, nearest_rows, pack_rows, source, squared_distances, unpack_rows
 
 WIDTH, WORDS = 2, 16
 #: Vectors that a list holds on average, the most lists, and the sampled vectors a list to fit with.
@@ -47,7 +47,7 @@ class Index:
 def _kmeans(x: np.ndarray, k: int, steps: int) -> np.ndarray:
     c = x[:k].copy()
     for _ in range(steps):
-        near = np.concatenate([squared_distances(x[s : s + 8192], c).argmin(axis=1) for s in range(0, len(x), 8192)])
+        near = nearest_rows(x, c)
         n = np.bincount(near, minlength=k)
         order = np.argsort(near, kind="stable")
         starts = np.flatnonzero(np.diff(near[order], prepend=-1))
@@ -130,7 +130,7 @@ def fit(points: DataFrame, id_col: str, x_col: str, dim: int, parallel: float =
         return Index(np.zeros((1, dim), np.float32), np.zeros((dim // WIDTH, WORDS, WIDTH), np.float32), dim, parallel)
     c = _kmeans(x, min(k, len(x)), 6)
     part = x[:CODE_SAMPLE]
-    r = part - c[np.concatenate([squared_distances(part[s : s + 8192], c).argmin(axis=1) for s in range(0, len(part), 8192)])]
+    r = part - c[nearest_rows(part, c)]
     return Index(c, _train_words(r, parallel), dim, parallel)
 
 
