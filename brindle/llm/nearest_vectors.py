@@ -116,10 +116,11 @@ def fit(points: DataFrame, id_col: str, x_col: str, dim: int, parallel: float =
     limit = int(share * (2**63 - 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # an id repeated without end is sampled once a task
         for b in batches:
             ids, x = decode(b, dim)
-            m = mixed(ids, 3) <= limit
-            if m.any():
+            m = [i for i in np.flatnonzero(mixed(ids, 3) <= limit).tolist() if ids[i] not in sent and not sent.add(int(ids[i]))]
+            if m:
                 yield pa.RecordBatch.from_arrays([pa.array(mixed(ids[m], 3)), pack_rows(x[m])], names=["h", "x"])
 
     got = src.mapInArrow(work, "h bigint, x binary").toArrow()
