@@ -73,6 +73,14 @@ def test_leaks(spark):
     assert {(i, d) for i, d, k in got if k == "verbatim"} == {(1, d) for d in (1, 2, 4, 6, 10, 11)}
 
 
+def test_a_passage_with_few_names_is_followed(spark):
+    # two short or common names only: nothing in the raw file tells that the document speaks the item
+    plain = "Zolpir has 10 bells, yet just 25 of them frighten the copper gimbas."
+    slow = srt([w for w in " ".join(ITEM.split()[3:16]).split()])
+    assert eval_leaks.find(eval_leaks.build_index(ITEMS), slow, 12, 24) != []
+    assert found(spark, [(1, srt(chunks(plain))), (2, slow)]) == {(1, 1, "verbatim"), (1, 2, "verbatim")}
+
+
 def test_an_item_asked_again_is_told_apart(spark):
     other = OTHER.replace("lantern", "barrel").replace("amber", "copper").replace("stenuls", "rilpirs")
     assert found(spark, [(1, srt(chunks(other)))], [(1, ITEM)], asked_again=16) == {(1, 1, "asked again")}
