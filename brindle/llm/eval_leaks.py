@@ -2,10 +2,11 @@
 
 Items and documents become sequences of folded words, in which the usual recognition errors
 vanish. Both are written as templates: numbers, and names and units, become typed
-placeholders, all other words of the items stay. Windows of the items' templates are hashed;
-the windows of each document are joined with them by hash where the document lies. A joined
-window whose slots hold the item's own values is followed in both directions as long as the
-words agree (a verbatim passage). One whose slots hold other values is followed as long as
+placeholders, all other words of the items stay. Windows of the items' words and places whose
+spacing differs are hashed; those of each document are joined with them by hash where the
+document lies, a damaged word as every word it may stand for, and followed in both directions
+as long as the words agree (a verbatim passage). Windows of the templates are joined likewise;
+one whose slots hold other values is followed as long as
 each slot value of the item stands for one value of the document and the other way round
 (the item asked again with other parameters).
 """
@@ -17,6 +18,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,12 @@ NUMBER = re.compile(r"(?=.*\d)[0-9oOlI|sS]+$")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = str.maketrans("oOlI|sS", "0011155")
 EDGES = ".,;:!?\u00a1\u00bf\u2026\u2013\u2014\"'\u00ab\u00bb\u201c\u201d\u201e()[]-"
-#: Template words of a window; two of twelve words may be damaged beyond folding and one run of four is left.
+#: Words of a window, of the template or of the item itself.
 WINDOW = 4
+#: How many words of the item and of the document a spacing error may put in place of each other.
+SPACED = ((1, 2), (2, 1), (2, 2), (1, 3), (3, 1))
+#: Distinct words of documents whose readings an executor keeps.
+KEPT = 500_000
 #: Words of a window that are no placeholders; with fewer it says nothing.
 FRAMES = 2
 #: Share of the items in which a template word must stand.
@@ -77,6 +83,30 @@ class Index:
     frames: frozenset[bytes] = frozenset()
     known: frozenset[bytes] = frozenset()
     windows: dict[tuple[bytes, ...], list[tuple[int, int]]] = field(default_factory=dict)
+    grams: dict[tuple[bytes, ...], list[tuple[int, int]]] = field(default_factory=dict)
+    gram: int = WINDOW
+    joins: dict[int, dict[bytes, list[tuple[int, int, int]]]] = field(default_factory=dict)
+    pairs: dict[bytes, dict[bytes, list[tuple[int, int]]]] = field(default_factory=dict)
+    plains: dict[bytes, set[bytes]] = field(default_factory=dict)
+    splits: dict[bytes, set[tuple[bytes, bool]]] = field(default_factory=dict)
+    edits: dict[bytes, set[tuple[bytes, bool]]] = field(default_factory=dict)
+    read: dict[str, tuple[bytes, ...]] = field(default_factory=dict)
+    folded: dict[str, bytes] = field(default_factory=dict)
+
+    def readings(self, word: str, b: bytes) -> tuple[bytes, ...]:
+        """The items' words that a document's word, b when folded, may stand for: those that Passage.same accepts."""
+        got = self.read.get(word)
+        if got is None:
+            out = {b} if b in self.known else set()
+            if b[:1] != b"#":
+                out |= self.plains.get(plain(word), set())
+                out |= {a for a, li in self.splits.get(split_h(word), ()) if li or "li" in word}
+                odd = _odd(word)
+                out |= {a for key in _shorter(b) for a, marked in self.edits.get(key, ()) if (odd or marked) and _edits(a, b)}
+            if len(self.read) >= KEPT:
+                self.read.clear()
+            got = self.read[word] = tuple(out)
+        return got
 
     def kinds(self, toks: list[bytes]) -> list[bytes]:
         """The template: n for a number, x for a name, a unit or an unknown word, other words as they are."""
@@ -84,8 +114,8 @@ class Index:
         return [b"#n" if t[:1] == b"#" else t if t in frames else b"#x" for t in toks]
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index:
-    """Index of items. Names are words with a capital inside a sentence, units words that follow a number, for half of their
+def build_index(rows: list[tuple[int, str]], least: int = WINDOW) -> Index:
+    """Index of items, whose runs of ``least`` words or more are sought. Names are words with a capital inside a sentence, units words that follow a number, for half of their
     places at least; words in few of many items are values like those."""
     ix = Index()
     slot: Counter[bytes] = Counter()
@@ -115,9 +145,46 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
             if sum(k[:1] != b"#" for k in kinds[p : p + WINDOW]) >= FRAMES:
                 windows[tuple(kinds[p : p + WINDOW])].append((n, p))
     ix.windows = dict(windows)
+    _add_seeds(ix, least)
     return ix
 
 
+def _add_seeds(ix: Index, least: int) -> None:
+    """What a run of ``least`` words holds at least one of: ``gram`` words one by one, or words in other spacing."""
+    ix.gram = max(1, min(WINDOW, least))
+    grams, plains, splits, edits = defaultdict(list), defaultdict(set), defaultdict(set), defaultdict(set)
+    joins: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {k: defaultdict(list) for k in (1, 2, 3)}
+    pairs: dict[bytes, dict[bytes, list[tuple[int, int]]]] = {}
+    for n, (words, toks, at) in enumerate(zip(ix.words, ix.toks, ix.at, strict=True)):
+        for p in range(len(toks)):
+            if p + ix.gram <= len(toks):
+                grams[tuple(toks[p : p + ix.gram])].append((n, p))
+            for k, b in SPACED:
+                if p + k <= len(toks):
+                    u = "".join(words[at[p] : at[p + k - 1] + 1])
+                    for key in {fold(u), split_h(u)}:
+                        if len(key) > 2 and k == b:
+                            pairs.setdefault(key, {}).setdefault(toks[p], []).append((n, p))
+                        elif len(key) > 2:
+                            joins[b][key].append((n, p, k))
+            a, u = toks[p], words[at[p]]
+            if a[:1] == b"#":
+                continue
+            if not u.isascii():
+                plains[plain(u)].add(a)
+            splits[split_h(u)].add((a, "li" in u))
+            if len(a) > 3:
+                for key in _shorter(a):
+                    edits[key].add((a, _odd(u)))
+    ix.pairs = pairs
+    ix.grams, ix.joins, ix.plains, ix.splits, ix.edits = dict(grams), {k: dict(v) for k, v in joins.items()}, dict(plains), dict(splits), dict(edits)
+
+
+def _shorter(a: bytes) -> set[bytes]:
+    """A word and it with one sign left out; words one edit apart share one of these."""
+    return {a, *(a[:i] + a[i + 1 :] for i in range(len(a)))}
+
+
 def _edits(a: bytes, b: bytes) -> bool:
     """Whether at most one insertion, deletion or change leads from a to b."""
     if abs(len(a) - len(b)) > 1:
@@ -138,7 +205,7 @@ class Passage:
     """A document's words beside an item's."""
 
     def __init__(self, ix: Index, n: int, words: list[str], toks: list[bytes], at: list[int]):
-        self.iw, self.it, self.ia = ix.words[n], ix.toks[n], ix.at[n]
+        self.iw, self.it, self.ia, self.folded = ix.words[n], ix.toks[n], ix.at[n], ix.folded
         self.dw, self.dt, self.da = words, toks, at
 
     def same(self, i: int, j: int) -> bool:
@@ -160,23 +227,33 @@ class Passage:
             return 0, 0
         if self.same(i, j):
             return 1, 1
-        for a, b in ((1, 2), (2, 1), (2, 2), (1, 3), (3, 1)):
+        for a, b in SPACED:
             x, y = (i, j) if way > 0 else (i - a + 1, j - b + 1)
-            if x < 0 or y < 0 or x + a > len(self.it) or y + b > len(self.dt):
-                continue
-            u = "".join(self.iw[self.ia[x] : self.ia[x + a - 1] + 1])
-            v = "".join(self.dw[self.da[y] : self.da[y + b - 1] + 1])
-            p = fold(u)
-            if len(p) > 2 and (p == fold(v) or split_h(u) == split_h(v)) and DIGIT.findall(u) == DIGIT.findall(v):
+            if self.spaced(x, y, a, b):
                 return a, b
         return 0, 0
 
-    def run(self, i: int, j: int) -> tuple[int, int, int, int]:
-        """Bounds (item from, to, document from, to) of the agreeing words around words i and j, which agree."""
+    def spaced(self, x: int, y: int, a: int, b: int) -> bool:
+        """Whether a words of the item from x on and b of the document from y on differ in spacing only."""
+        if x < 0 or y < 0 or x + a > len(self.it) or y + b > len(self.dt):
+            return False
+        s, t = self.it[x], self.dt[y]
+        # what follows a word of two signs or more doesn't change its first sign
+        if s[0] != t[0] and s[0] != 35 and t[0] != 35 and len(s) > 1 and len(t) > 1 and "li" not in self.iw[self.ia[x]] and "li" not in self.dw[self.da[y]]:
+            return False
+        u = "".join(self.iw[self.ia[x] : self.ia[x + a - 1] + 1])
+        v = "".join(self.dw[self.da[y] : self.da[y + b - 1] + 1])
+        p = self.folded.get(u)
+        if p is None:
+            p = self.folded[u] = fold(u)
+        return len(p) > 2 and (p == fold(v) or ("li" in u or "li" in v) and split_h(u) == split_h(v)) and DIGIT.findall(u) == DIGIT.findall(v)
+
+    def run(self, i: int, j: int, a: int = 1, b: int = 1) -> tuple[int, int, int, int]:
+        """Bounds (item from, to, document from, to) of the agreeing words around a words from i on and b from j on, which agree."""
         lo, lj = i, j
         while (s := self.step(lo - 1, lj - 1, -1)) != (0, 0):
             lo, lj = lo - s[0], lj - s[1]
-        hi, hj = i + 1, j + 1
+        hi, hj = i + a, j + b
         while (s := self.step(hi, hj, 1)) != (0, 0):
             hi, hj = hi + s[0], hj + s[1]
         return lo, hi, lj, hj
@@ -202,6 +279,52 @@ class Passage:
         return lo - up - 1, sum(a != b for a, b in there.items())
 
 
+def _seeds(ix: Index, words: list[str], toks: list[bytes], at: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item number, its word, the document's word, and how many of either) where a run may begin to be followed.
+
+    A run of agreeing words has a place where spacing differs, or all its words agree one by one and every window of
+    them is found, so no run is missed.
+    """
+    read, size, grams = ix.read, ix.gram, ix.grams
+    forms = [read[words[i]] if words[i] in read else ix.readings(words[i], t) for i, t in zip(at, toks, strict=True)]
+    one = [f[0] if f else b"" for f in forms]
+    for j, window in enumerate(zip(*(one[k:] for k in range(size)), strict=False)):
+        if window in grams:
+            for n, p in grams[window]:
+                yield n, p, j, 1, 1
+    for j in sorted({k for i, f in enumerate(forms) if len(f) > 1 for k in range(max(0, i - size + 1), min(i, len(forms) - size) + 1)}):
+        for window in product(*forms[j : j + size]):
+            for n, p in grams.get(window, ()):
+                yield n, p, j, 1, 1
+    ends = [words[i] for i in at]
+    # a word and those after it that fold to nothing
+    heads = ends if len(at) == len(words) else ["".join(words[i:k]) for i, k in zip(at, [*at[1:], len(words)], strict=True)]
+    spans = ends
+    for b in (1, 2, 3):
+        if b > 1:
+            spans = [x + y for x, y in zip(heads, spans[1:], strict=False)]
+        if not spans:
+            return
+        folded = fold(" ".join(spans)).split(b" ") if b > 1 else [fold(v) if t[0] == 35 else t for t, v in zip(toks, spans, strict=True)]
+        joins, pairs, places = ix.joins[b], ix.pairs if b == 2 else {}, range(len(spans))
+        li = [j for j, v in enumerate(spans) if "li" in v]
+        for at_j, keys in ((places, folded), (li, split_h(" ".join([spans[j] for j in li])).split(b" ") if li else [])):
+            if not joins.keys().isdisjoint(keys):
+                for j, key in zip(at_j, keys, strict=True):
+                    if key in joins:
+                        for n, p, a in joins[key]:
+                            yield n, p, j, a, b
+            if not pairs or pairs.keys().isdisjoint(keys):
+                continue
+            for j, key in zip(at_j, keys, strict=True):
+                if key in pairs:
+                    for first, where in pairs[key].items():
+                        # two words that are the item's two are no other spacing
+                        if first != toks[j]:
+                            for n, p in where:
+                                yield n, p, j, 2, 2
+
+
 def find(ix: Index, text: str, least: int, asked_again: int) -> list[tuple[int, str, int, int]]:
     """(item number, kind, words, position in the document) of each item that a document speaks."""
     words: list[str] = []
@@ -219,24 +342,24 @@ def find(ix: Index, text: str, least: int, asked_again: int) -> list[tuple[int,
     best: dict[int, tuple[int, int]] = {}
     again: dict[int, tuple[int, int]] = {}
     done: dict[tuple[int, int], int] = {}
-    diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for j in range(len(toks) - WINDOW + 1):
-        window = tuple(kinds[j : j + WINDOW])
-        hits = ix.windows.get(window)
-        if not hits:
+    # the item's own words, followed in both directions
+    for n, p, j, a, b in _seeds(ix, words, toks, at):
+        if done.get((n, p - j), -1) > j:
             continue
-        mine = toks[j : j + WINDOW]
-        slotted = any(k[:1] == b"#" for k in window)
-        for n, p in hits:
-            diagonal = (n, p - j)
-            diagonals[diagonal].append(j)
-            # the item's own values in the slots: followed word by word
-            if slotted and ix.toks[n][p : p + WINDOW] == mine and done.get(diagonal, -1) <= j:
-                lo, hi, lj, hj = Passage(ix, n, words, toks, at).run(p, j)
-                done[diagonal] = hj
-                length = ix.at[n][hi - 1] - ix.at[n][lo] + 1
-                if length > best.get(n, (0, 0))[0]:
-                    best[n] = (length, at[lj])
+        passage = Passage(ix, n, words, toks, at)
+        if (a, b) == (2, 2) and passage.same(p, j) and passage.same(p + 1, j + 1) or (a, b) != (1, 1) and not passage.spaced(p, j, a, b):
+            continue
+        lo, hi, lj, hj = passage.run(p, j, a, b)
+        if (a, b) == (1, 1):
+            done[n, p - j] = hj
+        length = ix.at[n][hi - 1] - ix.at[n][lo] + 1
+        if length > best.get(n, (0, 0))[0]:
+            best[n] = (length, at[lj])
+    diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for j, window in enumerate(zip(*(kinds[k:] for k in range(WINDOW)), strict=False)):
+        if window in ix.windows:
+            for n, p in ix.windows[window]:
+                diagonals[n, p - j].append(j)
     for (n, offset), js in diagonals.items():
         # a template run of that many words holds a third as many windows with words enough, on one diagonal
         if 3 * len(js) < asked_again or best.get(n, (0, 0))[0] >= least:
@@ -274,7 +397,7 @@ def leaks(
     out, rows = None, []
 
     def search(rows: list[tuple[int, str]]) -> DataFrame:
-        ix = build_index(rows)
+        ix = build_index(rows, least)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -81,6 +81,51 @@ def test_a_passage_with_few_names_is_followed(spark):
     assert found(spark, [(1, srt(chunks(plain))), (2, slow)]) == {(1, 1, "verbatim"), (1, 2, "verbatim")}
 
 
+def _damaged(words, bad, turn):
+    """Words with those at bad damaged in a character or, in turn, run together with the next or cut in two."""
+    out, k = [], 0
+    while k < len(words):
+        w = words[k]
+        if k not in bad or len(w) < 4:
+            out.append(w)
+        elif (k + turn) % 3 == 0 and k + 1 < len(words):
+            out.append(w.strip(".,:") + words[k + 1])
+            k += 1
+        elif (k + turn) % 3 == 1:
+            out += [w[:2], w[2:]]
+        else:
+            out.append(w[:2] + "?" + w[3:])
+        k += 1
+    return " ".join(out)
+
+
+def test_every_followed_run_is_seeded():
+    """However the words of a passage are damaged, find() follows it if any start would."""
+    ix = eval_leaks.build_index(ITEMS, 12)
+    missed, whole = [], 0
+    for n, item in enumerate(t for _, t in ITEMS):
+        w = item.split()
+        for p in range(len(w) - 11):
+            for turn, bad in enumerate(({2, 5}, {3, 4, 8}, {1, 3, 5, 7, 9}, set(range(0, 12, 2)), set(range(12)))):
+                text = _damaged(w[p : p + 12], bad, turn)
+                words = text.split()
+                toks, at = eval_leaks.tokens(words)
+                passage = eval_leaks.Passage(ix, n, words, toks, at)
+                runs = [
+                    passage.run(i, j, a, b)[:2]
+                    for i in range(len(ix.toks[n]))
+                    for j in range(len(toks))
+                    for a, b in ((1, 1), *((1, 2), (2, 1), (2, 2), (1, 3), (3, 1)))
+                    if (passage.same(i, j) if (a, b) == (1, 1) else passage.spaced(i, j, a, b))
+                ]
+                want = any(ix.at[n][hi - 1] - ix.at[n][lo] + 1 >= 12 for lo, hi in runs)
+                got = any(m == n and kind == "verbatim" for m, kind, *_ in eval_leaks.find(ix, srt([text]), 12, 24))
+                whole += want
+                if want and not got:
+                    missed.append(text)
+    assert whole > 100 and missed == []
+
+
 def test_an_item_asked_again_is_told_apart(spark):
     other = OTHER.replace("lantern", "barrel").replace("amber", "copper").replace("stenuls", "rilpirs")
     assert found(spark, [(1, srt(chunks(other)))], [(1, ITEM)], asked_again=16) == {(1, 1, "asked again")}
