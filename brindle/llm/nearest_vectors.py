@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.vectors import content_hash, decode, mixed, nearest_rows, pack_rows, source, squared_distances, unpack_rows
+from brindle.llm.vectors import content_hash, decode, kmeans, mixed, nearest_rows, pack_rows, source, squared_distances, unpack_rows
 
 WIDTH, WORDS = 2, 16
 #: Vectors that a list holds on average, the most lists, and the sampled vectors a list to fit with.
@@ -44,17 +44,6 @@ class Index:
     parallel: float
 
 
-def _kmeans(x: np.ndarray, k: int, steps: int) -> np.ndarray:
-    c = x[:k].copy()
-    for _ in range(steps):
-        near = nearest_rows(x, c)
-        n = np.bincount(near, minlength=k)
-        order = np.argsort(near, kind="stable")
-        starts = np.flatnonzero(np.diff(near[order], prepend=-1))
-        c[near[order][starts]] = np.add.reduceat(x[order], starts, axis=0) / n[near[order][starts]][:, None]
-    return c
-
-
 def encode(r: np.ndarray, words: np.ndarray, parallel: float, rounds: int = 2) -> np.ndarray:
     """Codes of residual vectors under the anisotropic loss |e|^2 + (parallel - 1) (e . r / |r|)^2, by coordinate descent."""
     n, parts = len(r), len(words)
@@ -85,7 +74,7 @@ def _train_words(r: np.ndarray, parallel: float, steps: int = 4) -> np.ndarray:
     words = np.zeros((parts, WORDS, WIDTH), np.float32)
     for m in range(parts):
         p = np.ascontiguousarray(pieces[:, m])
-        w = _kmeans(p, min(WORDS, n), 8)
+        w = kmeans(p, min(WORDS, n), 8)
         words[m, : len(w)] = w
         words[m, len(w) :] = w[-1]
     unit = pieces / np.maximum(np.sqrt((r * r).sum(axis=1)), 1e-12)[:, None, None]
@@ -129,7 +118,7 @@ def fit(points: DataFrame, id_col: str, x_col: str, dim: int, parallel: float =
     x = x[np.sort(np.unique(content_hash(x), return_index=True)[1])]
     if not len(x):
         return Index(np.zeros((1, dim), np.float32), np.zeros((dim // WIDTH, WORDS, WIDTH), np.float32), dim, parallel)
-    c = _kmeans(x, min(k, len(x)), 6)
+    c = kmeans(x, min(k, len(x)), 6)
     part = x[:CODE_SAMPLE]
     r = part - c[nearest_rows(part, c)]
     return Index(c, _train_words(r, parallel), dim, parallel)

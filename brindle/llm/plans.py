@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions import vec as V
 from brindle.llm import eval_leaks, heavy_hitters, nearest_vectors, packing, pivot_clusters, subject_areas, term_frequency
 from brindle.session import table
 
@@ -15,34 +17,36 @@ CAPACITY = 8192
 DIM = 32
 
 
-def _groups(spark: SparkSession, d: str) -> tuple[pivot_clusters.Clusters, dict[int, int]]:
-    """Clusters of points, and the gauss component of each cluster that is a group.
-
-    Similar means within 1.2 times the usual distance of two points of one component, by the
-    spreads of the earlier fit; a cluster of under 0.2 % of the points is no group. gauss has
-    one row a component, 27 at every size.
-    """
-    gauss = table(spark, d, "gauss").select("cluster", "mu", "sigma2").na.drop().limit(10_000).toPandas()
-    gauss = gauss[gauss["mu"].map(len) == DIM]
-    spread = np.median([np.sum(s) for s in gauss["sigma2"]])
-    model = pivot_clusters.fit(table(spark, d, "points"), "row_id", "x", DIM, float(1.2 * np.sqrt(2 * spread)))
-    mu = np.stack(gauss["mu"].to_numpy())
-    near = ((model.centres[:, None, :] - mu[None]) ** 2).sum(axis=2).argmin(axis=1)
-    least = max(2, 0.002 * model.total)
-    return model, {c: int(gauss["cluster"].iloc[near[c]]) for c in range(len(model.centres)) if model.sizes[c] >= least}
+def _clusters(spark: SparkSession, d: str) -> pivot_clusters.Clusters:
+    """Two points are similar within 1.2 times the usual distance of two points of one component, by the spreads of the earlier fit."""
+    sigma2 = table(spark, d, "gauss").filter(F.size("sigma2") == DIM).select(V.total(F.col("sigma2")).alias("s"))
+    spread = sigma2.agg(F.median("s")).first()[0] or 1.0
+    return pivot_clusters.fit(table(spark, d, "points"), "row_id", "x", DIM, float(1.2 * np.sqrt(2 * spread)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    model, component = _groups(spark, d)
-    found = pivot_clusters.assign(table(spark, d, "points"), "row_id", "x", model, rest=False)
-    named = F.element_at(F.create_map(*[F.lit(v) for pair in component.items() for v in pair]), F.col("cluster").cast("int"))
-    return found.select("row_id", named.alias("cluster")).filter(F.col("cluster").isNotNull())
+    """A group is a cluster of at least two points. Each is tied to the component nearest to its mean; no component has two
+    groups, so of several clusters nearest to one the largest is its group."""
+    model = _clusters(spark, d)
+    assigned = pivot_clusters.assign(model)
+    gauss = table(spark, d, "gauss").filter((F.size("mu") == DIM) & F.col("cluster").isNotNull()).select("cluster", "mu").orderBy("cluster").toArrow()  # 27 rows at every size
+    component, mu = gauss["cluster"].to_numpy(), np.array(gauss["mu"].to_pylist()).reshape(-1, DIM)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mean = b.column(2).flatten().to_numpy().reshape(-1, 1, DIM)
+            at = ((mean - mu[None]) ** 2).sum(axis=2).argmin(axis=1) if len(mu) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0)[: len(at)], b.column(1)[: len(at)], pa.array(component[at], pa.int32())], names=["cluster", "size", "component"])
+
+    nearest = pivot_clusters.summaries(model, assigned).mapInArrow(tie, "cluster bigint, size bigint, component int")
+    groups = nearest.groupBy("component").agg(F.max(F.struct("size", (-F.col("cluster")).alias("c"))).alias("g"))
+    named = groups.select((-F.col("g.c")).alias("cluster"), "component")
+    return assigned.join(F.broadcast(named), "cluster").select("row_id", F.col("component").alias("cluster"))
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     """All clusters, those of far points too, with their sizes and three most typical members."""
-    model, _ = _groups(spark, d)
-    return pivot_clusters.describe(pivot_clusters.assign(table(spark, d, "points"), "row_id", "x", model))
+    return pivot_clusters.describe(pivot_clusters.assign(_clusters(spark, d)))
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:

@@ -86,36 +86,102 @@ def source(points: DataFrame, id_col: str, x_col: str) -> DataFrame:
     return points.select(F.col(id_col).cast("bigint").alias("id"), F.col(x_col).cast("array<float>").alias("x"))
 
 
-def lowest_sample(src: DataFrame, dim: int, size: int, salt: int, keep=None) -> tuple[np.ndarray, np.ndarray, int]:
-    """The size usable rows of lowest hash, in hash order (ids, vectors), and the number of usable rows.
+def pack_source(points: DataFrame, id_col: str, x_col: str, dim: int, salt: int) -> DataFrame:
+    """(id, h, x): each usable row once, with the hash of its id and its packed vector.
 
-    Each task sends its own lowest rows only; a row repeated under one id counts once in the
-    sample. keep, if given, maps (ids, vectors) to a mask of the rows that take part.
+    Of unequal vectors under one id the smallest in bytes counts. Rows repeated under one id
+    are combined where they are read, before the shuffle.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_i, best_x, total = np.empty(0, np.int64), np.empty((0, dim), np.float32), 0
         for b in batches:
             ids, x = decode(b, dim)
-            if keep is not None and len(ids):
-                m = keep(ids, x)
-                ids, x = ids[m], x[m]
-            total += len(ids)
-            ids, x = np.concatenate([best_i, ids]), np.concatenate([best_x, x])
-            _, first = np.unique(ids, return_index=True)
-            h = mixed(ids[first], salt)
-            low = first[np.argsort(h, kind="stable")[:size]]
-            best_i, best_x = ids[low], x[low]
-        rows = pa.array(np.concatenate([[total], np.zeros(len(best_i), np.int64)]))
-        hashes = pa.array(np.concatenate([[-1], mixed(best_i, salt)]))
-        yield pa.RecordBatch.from_arrays(
-            [hashes, pa.array(np.concatenate([[0], best_i])), pack_rows(np.concatenate([np.zeros((1, dim), np.float32), best_x])), rows],
-            names=["h", "id", "x", "n"],
-        )
-
-    found = src.mapInArrow(work, "h bigint, id bigint, x binary, n bigint")
-    low = found.groupBy("h", "id").agg(F.first("x").alias("x"), F.sum("n").alias("n")).orderBy("h", "id").limit(size + 1).toArrow()
-    h, ids, x = low["h"].to_numpy(), low["id"].to_numpy(), unpack_rows(low["x"], dim)
-    real = h >= 0
-    total = int(low["n"].to_numpy()[~real].sum()) if len(h) else 0
-    return ids[real][:size], x[real][:size], total
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mixed(ids, salt)), pack_rows(x)], names=["id", "h", "x"])
+
+    packed = source(points, id_col, x_col).mapInArrow(work, "id bigint, h bigint, x binary")
+    return packed.groupBy("id", "h").agg(F.min("x").alias("x"))
+
+
+def kmeans(x: np.ndarray, k: int, steps: int) -> np.ndarray:
+    """k centroids, started from the first k rows; an empty one stays where it is."""
+    c = x[:k].copy()
+    for _ in range(steps):
+        near = nearest_rows(x, c)
+        n = np.bincount(near, minlength=len(c))
+        order = np.argsort(near, kind="stable")
+        starts = np.flatnonzero(np.diff(near[order], prepend=-1))
+        c[near[order][starts]] = np.add.reduceat(x[order], starts, axis=0) / n[near[order][starts]][:, None]
+    return c
+
+
+class Router:
+    """Cells around centroids, in one level or in two, and the cells that a vector visits.
+
+    Two vectors within a reach of each other whose nearest centroids differ are parted by the
+    plane between these; one of the two is no farther than half the reach from it. A vector
+    that visits every cell whose plane is so near thus meets, in its own cell or as a
+    visitor, every vector within the reach. With two levels this holds at either: a vector
+    has a nearest inner centroid in every outer cell that it visits.
+    """
+
+    #: The most centroids of one level.
+    FLAT = 2048
+
+    def __init__(self, outer: np.ndarray, inner: list[np.ndarray]):
+        self.outer, self.inner = outer, inner
+        self.start = np.cumsum([0, *[len(c) for c in inner]])
+        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_held": {}}
+
+    @classmethod
+    def fit(cls, x: np.ndarray, k: int, steps: int = 6) -> Router:
+        """k cells or a few less, for a sample in random order."""
+        if k <= cls.FLAT or len(x) <= cls.FLAT:
+            return cls(np.zeros((1, x.shape[1]), np.float32), [kmeans(x, max(1, min(k, len(x))), steps)])
+        outer = kmeans(x, int(np.sqrt(k)), steps)
+        near = nearest_rows(x, outer)
+        some = np.unique(near)
+        inner = [kmeans(x[near == g], max(1, round(k * float((near == g).mean()))), steps) for g in some]
+        return cls(outer[some], inner)
+
+    def centroid(self, cell: int) -> np.ndarray:
+        g = int(np.searchsorted(self.start, cell, side="right")) - 1
+        return self.inner[g][cell - self.start[g]]
+
+    def _level(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centroids of the outer level (-1) or of one outer cell, their squared norms and the distances between them."""
+        c = self.outer if g < 0 else self.inner[g]
+        if g not in self._held:
+            self._held[g] = (c * c).sum(axis=1), np.sqrt(squared_distances(c, c))
+        return c, *self._held[g]
+
+    def _visits(self, g: int, x: np.ndarray, reach: float | None, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c, norms, gaps = self._level(g)
+        d = squared_distances(x, c, norms)
+        first = d.argmin(axis=1)
+        if reach is not None:
+            go = d - np.take_along_axis(d, first[:, None], axis=1) <= reach * gaps[first] * 1.0001 + 1e-3
+        else:
+            go = np.zeros(d.shape, bool)
+            p = min(probes, d.shape[1])
+            np.put_along_axis(go, np.argpartition(d, p - 1, axis=1)[:, :p], True, axis=1)
+        np.put_along_axis(go, first[:, None], True, axis=1)
+        at, cell = np.nonzero(go)
+        return at, cell, cell == first[at]
+
+    def visits(self, x: np.ndarray, reach: float | None, probes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, own): the cells that each row visits. own: the nearest inner centroid of a visited outer cell;
+        without a reach, that of the nearest outer cell only."""
+        if len(self.inner) == 1:
+            return self._visits(0, x, reach, probes)
+        rows, cells, owns = [], [], []
+        at, group, outer_own = self._visits(-1, x, reach, probes)
+        for g in np.unique(group):
+            m = group == g
+            a, cell, own = self._visits(int(g), x[at[m]], reach, probes)
+            rows.append(at[m][a])
+            cells.append(cell + self.start[g])
+            owns.append(own & (outer_own[m][a] | (reach is not None)))
+        return np.concatenate(rows), np.concatenate(cells), np.concatenate(owns)

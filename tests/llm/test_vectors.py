@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from brindle.llm import nearest_vectors, pivot_clusters
-from brindle.llm.vectors import content_hash, pack_rows, squared_distances, unpack_rows
+from brindle.llm.vectors import content_hash, pack_rows, pack_source, unpack_rows
 
 SCHEMA = "row_id bigint, x array<float>, id string, list int"
 NAN = float("nan")
@@ -32,38 +32,58 @@ def test_clusters_find_the_groups(spark):
     bad = [(9001, None), (9002, [1.0] * 7), (9003, [NAN] * 8), (9004, [None] * 8), (None, [1.0] * 8), rows[0], rows[0]]
     df = frame(spark, rows + bad)
     model = pivot_clusters.fit(df, "row_id", "x", 8, 8.0, examined=256)
-    got = pivot_clusters.assign(df, "row_id", "x", model).toPandas()
+    assigned = pivot_clusters.assign(model)
+    got = assigned.toPandas()
     assert sorted(got["row_id"]) == list(range(len(data)))
     truth = {i: c for i, (c, _) in enumerate(data)}
-    for c, part in got[got["cluster"] >= 0].groupby("cluster"):
-        assert len({truth[i] for i in part["row_id"]}) == 1
-        assert model.medoids[c] in set(part["row_id"]) and model.sizes[c] >= len(part)
-    main = got[got["cluster"] >= 0]["cluster"].value_counts()
-    assert list(main[:3]) == [900, 300, 60]
-    assert set(got[got["cluster"] < 0]["row_id"]) == {i for i, c in truth.items() if c < 0}
-    # far rows that are similar to each other share a cluster, others don't
+    sizes = got.groupby("cluster").size().to_dict()
+    assert sorted(sizes.values())[-3:] == [60, 300, 900]
+    for c, part in got.groupby("cluster"):
+        assert len({truth[i] for i in part["row_id"]}) == 1 and c in set(part["row_id"])
+    means = {r["cluster"]: (r["size"], r["mean"]) for r in pivot_clusters.summaries(model, assigned).collect()}
+    assert {c: n for c, (n, _) in means.items()} == {c: n for c, n in sizes.items() if n > 1}
     x = {i: v for i, v in rows}
-    for _, part in got[got["cluster"] < 0].groupby("cluster"):
-        p = np.array([x[i] for i in part["row_id"]])
-        assert squared_distances(p, p).max() <= 16.0**2
-    top = pivot_clusters.describe(pivot_clusters.assign(df, "row_id", "x", model)).toPandas()
-    assert (top[top["cluster"] >= 0].groupby("cluster").size() == 3).all()
+    for c, (_, mean) in means.items():
+        p = np.array([x[i] for i in got[got["cluster"] == c]["row_id"]])
+        assert np.abs(p.mean(axis=0) - mean).max() < 1e-3
+    top = pivot_clusters.describe(assigned).toPandas()
+    assert all(len(p) == min(3, sizes[c]) and p["row_id"].iloc[p["rank"].argmin()] == c for c, p in top.groupby("cluster"))
 
 
 def test_pivots_are_the_sequential_ones():
-    x = np.random.default_rng(2).normal(size=(200, 3)).astype(np.float32)
+    x = np.random.default_rng(2).normal(size=(1500, 3)).astype(np.float32)
     want = []
     for i in range(len(x)):
         if all(np.linalg.norm(x[i] - x[j]) > 1.0 for j in want):
             want.append(i)
-    assert pivot_clusters.local_minima(x, 1.0) == want
+    assert pivot_clusters.local_minima(x, 1.0).tolist() == want
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None)], [(5, [0.0] * 8)]])
+def test_thousands_of_groups_are_found(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(3000, 8)) * 60
+    data = [(g * 40 + i, centres[g] + rng.normal(size=8)) for g in range(3000) for i in range(40)]
+    got = pivot_clusters.assign(pivot_clusters.fit(frame(spark, data), "row_id", "x", 8, 9.0)).toPandas()
+    sizes = got.groupby("cluster").size()
+    assert len(got) == 120_000 and (sizes == 40).sum() > 2900
+    assert (got.groupby("cluster")["row_id"].agg(lambda r: (r // 40).nunique()) == 1).mean() > 0.98
+
+
+@pytest.mark.parametrize("spread", [3.0, 40.0])
+def test_cells_give_what_one_task_gives(spark, spread):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(60, 8)) * spread)[rng.integers(0, 60, 900)] + rng.normal(size=(900, 8))
+    rows = frame(spark, [(i, v) for i, v in enumerate(x)])
+    left = pack_source(rows, "row_id", "x", 8, 11)
+    whole = {tuple(r) for r in pivot_clusters._rest(left, 8, 4.0).select("row_id", "cluster").collect()}
+    cut = {tuple(r) for r in pivot_clusters._rest(left, 8, 4.0, cell_rows=100).select("row_id", "cluster").collect()}
+    assert whole == cut and len(whole) == 900
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(5, [0.0] * 8)], [(5, [0.0] * 8), (6, [0.0] * 8)]])
 def test_clusters_of_hardly_anything(spark, rows):
-    df = frame(spark, rows)
-    model = pivot_clusters.fit(df, "row_id", "x", 8, 1.0)
-    assert pivot_clusters.assign(df, "row_id", "x", model).count() == sum(x is not None for _, x in rows)
+    got = pivot_clusters.assign(pivot_clusters.fit(frame(spark, rows), "row_id", "x", 8, 1.0)).toPandas()
+    assert sorted(got["row_id"]) == [i for i, x in rows if x is not None] and got["cluster"].nunique() <= 1
 
 
 def brute(rows, k, reach):
