@@ -14,8 +14,18 @@ from pyspark.sql import functions as F
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def decode_mask(batch: pa.RecordBatch, dim: int) -> pa.Array:
+    """Which rows of a batch (id, x, ...) are usable: id present, exactly dim values, all finite."""
+    ids, x = batch.column(0), batch.column(1)
+    fits = pc.and_(pc.is_valid(ids), pc.fill_null(pc.equal(pc.list_value_length(x), dim), False))
+    flat = x.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    out = fits.to_numpy(zero_copy_only=False).copy()
+    out[out] = np.isfinite(flat.reshape(-1, dim)).all(axis=1)
+    return pa.array(out)
+
+
 def decode(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and float32 vectors of the usable rows of a batch (id, x): id present, exactly dim values, all finite."""
+    """Ids and float32 vectors of the usable rows of a batch (id, x)."""
     ids, x = batch.column(0), batch.column(1)
     fits = pc.and_(pc.is_valid(ids), pc.fill_null(pc.equal(pc.list_value_length(x), dim), False))
     ids, x = ids.filter(fits), x.filter(fits)
@@ -185,3 +195,18 @@ class Router:
             cells.append(cell + self.start[g])
             owns.append(own & (outer_own[m][a] | (reach is not None)))
         return np.concatenate(rows), np.concatenate(cells), np.concatenate(owns)
+
+    def leading(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the cells of largest inner product with each row; of two levels, probes outer ones and probes cells in each."""
+
+        def best(c: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            p = min(probes, len(c))
+            cells = np.argpartition(-(x[rows] @ c.T), p - 1, axis=1)[:, :p]
+            return np.repeat(rows, p), cells.ravel()
+
+        everyone = np.arange(len(x))
+        if len(self.inner) == 1:
+            return best(self.inner[0], everyone)
+        at, group = best(self.outer, everyone)
+        found = [(best(self.inner[g], at[group == g]), self.start[g]) for g in np.unique(group)]
+        return np.concatenate([f[0][0] for f in found]), np.concatenate([f[0][1] + f[1] for f in found])
