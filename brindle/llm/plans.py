@@ -61,7 +61,7 @@ def p3_inner(spark: SparkSession, d: str) -> DataFrame:
     """The five largest inner products with every vector whose row_id is divisible by 100, among all usable vectors."""
     points = table(spark, d, "points")
     index = nearest_vectors.fit(points, "row_id", "x", DIM, parallel=4.0, score="product")
-    found = nearest_vectors.nearest(points, "row_id", "x", DIM, 5, index=index, probes=32, asks=F.col("row_id") % 100 == 0)
+    found = nearest_vectors.nearest(points, "row_id", "x", DIM, 5, index=index, probes=128, asks=F.col("row_id") % 100 == 0)
     return found.select("row_id", "other", (-F.col("distance")).alias("product"))
 
 
