@@ -164,11 +164,12 @@ def _codes(x: np.ndarray, centroid: np.ndarray, index: Index) -> tuple[np.ndarra
 
 
 def _scanned(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Sums of each query's table entries (queries, parts, 16) over the codes of a list."""
-    out = np.zeros((len(tables), codes.shape[1]), np.float32)
+    """Sums of the table entries (parts, 16, queries) over the codes of a list, (vectors, queries); a look-up fetches a
+    row of all queries."""
+    out = np.zeros((codes.shape[1], tables.shape[2]), np.float32)
     for p in range(len(codes)):
-        both = (tables[:, 2 * p, :, None] + tables[:, 2 * p + 1, None, :]).reshape(len(tables), -1)
-        out += np.take(both, codes[p], axis=1)
+        both = (tables[2 * p][:, None, :] + tables[2 * p + 1][None, :, :]).reshape(WORDS * WORDS, -1)
+        out += both[codes[p]]
     return out
 
 
@@ -186,22 +187,21 @@ def scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, centr
     for s in range(0, len(q_ids), block):
         part = q[s : s + block]
         if index.score == "product":
-            pieces = part.reshape(-1, parts, WIDTH)
-            scores = _scanned(np.einsum("qpw,pcw->qpc", pieces, index.words), codes) + (part @ centroid)[:, None]
+            scores = _scanned(np.einsum("qpw,pcw->pcq", part.reshape(-1, parts, WIDTH), index.words), codes) + (part @ centroid)[None]
             keep = min(RERANK * k, len(ids))
             near = np.zeros(scores.shape, bool)
-            np.put_along_axis(near, np.argpartition(-scores, keep - 1, axis=1)[:, :keep], True, axis=1)
+            np.put_along_axis(near, np.argpartition(-scores, keep - 1, axis=0)[:keep], True, axis=0)
         else:
-            pieces = (part - centroid).reshape(-1, parts, WIDTH)
-            apart = _scanned(((pieces[:, :, None, :] - index.words[None]) ** 2).sum(axis=3), codes)
+            pieces = (part - centroid).reshape(-1, parts, WIDTH).transpose(1, 0, 2)
+            apart = _scanned(sum((index.words[:, :, None, w] - pieces[:, None, :, w]) ** 2 for w in range(WIDTH)), codes)
             if reach is not None:
-                near = apart <= np.square(reach + error)[None, :]
+                near = apart <= np.square(reach + error)[:, None]
             else:
                 root = np.sqrt(apart)
-                most = root + error[None, :]
-                kth = np.partition(most, min(k, len(ids) - 1), axis=1)[:, min(k, len(ids) - 1)]  # k others beside the query itself
-                near = root - error[None, :] <= kth[:, None] + 1e-4
-        qi, xi = np.nonzero(near)
+                most = root + error[:, None]
+                kth = np.partition(most, min(k, len(ids) - 1), axis=0)[min(k, len(ids) - 1)]  # k others beside the query itself
+                near = root - error[:, None] <= kth[None] + 1e-4
+        xi, qi = np.nonzero(near)
         qi += s
         keep = q_ids[qi] != ids[xi]
         qi, xi = qi[keep], xi[keep]

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import nearest_vectors, pivot_clusters
-from brindle.llm.vectors import content_hash, pack_rows, pack_source, unpack_rows
+from brindle.llm.vectors import Router, content_hash, pack_rows, pack_source, unpack_rows
 
 SCHEMA = "row_id bigint, x array<float>, id string, list int"
 NAN = float("nan")
@@ -139,6 +140,53 @@ def test_recall_without_reach(spark):
     assert len(set(zip(got["row_id"], got["other"], strict=True)) & want) / len(want) >= 0.9
 
 
+def test_lists_are_divided_again(spark, monkeypatch):
+    monkeypatch.setattr(nearest_vectors, "LIST_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = families(rng)
+    df = frame(spark, rows)
+    for lists in (1, 3):
+        index = nearest_vectors.fit(df, "row_id", "x", 8, lists=lists)
+        ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32)
+        own = np.random.default_rng(1).random(len(ids)) < 0.7
+        row, other, _ = nearest_vectors.scan_list(ids, x, own, np.ones(len(ids), bool), index.router.centroid(0), index, 5, 1.0, 4)
+        held = set(ids[own].tolist())
+        assert {p for p in brute(rows, 5, 1.0) if p[1] in held and p[0] not in held} <= set(zip(row.tolist(), other.tolist(), strict=True))
+    assert nearest_vectors.lists_for(50_000_000) == 1024 and 50_000_000 / 1024 < nearest_vectors.LARGE_LIST
+
+
+def test_two_levels_of_cells_bring_neighbours_together(monkeypatch):
+    monkeypatch.setattr(Router, "FLAT", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    y = (x + rng.normal(size=x.shape) * 0.2).astype(np.float32)
+    router = Router.fit(x, 40)
+    assert len(router.inner) > 1
+    meet: list[set] = []
+    for v in (x, y):
+        at, cell, own = router.visits(v, 1.0)
+        meet.append({(int(a), int(c), bool(o)) for a, c, o in zip(at, cell, own, strict=True)})
+    for i in np.flatnonzero(np.linalg.norm(x - y, axis=1) <= 1.0):
+        here = {c for a, c, _ in meet[0] if a == i} & {c for a, c, _ in meet[1] if a == i}
+        assert any((i, c, True) in meet[0] | meet[1] for c in here)
+
+
+def test_inner_products(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, x) for i, (_, x) in enumerate(groups(rng, [500, 400, 300], far=20))]
+    rows += [(5000 + i, rows[0][1]) for i in range(nearest_vectors.COPIES + 8)]
+    df = frame(spark, [*rows, rows[3], (None, rows[0][1])])
+    index = nearest_vectors.fit(df, "row_id", "x", 8, lists=10, parallel=4.0, score="product")
+    got = nearest_vectors.nearest(df, "row_id", "x", 8, 5, index=index, probes=6, asks=F.col("row_id") % 10 == 0).toPandas()
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(np.float64)
+    want = set()
+    for i in np.flatnonzero(ids % 10 == 0):
+        s = x @ x[i]
+        want |= {(int(ids[i]), int(ids[j])) for j in [j for j in np.lexsort((ids, -s)) if j != i][:5]}
+    pairs = set(zip(got["row_id"], got["other"], strict=True))
+    assert len(pairs) == len(want) and len(pairs & want) / len(want) >= 0.9
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     rng = np.random.default_rng(6)
     r = rng.normal(size=(2000, 8)).astype(np.float32)
