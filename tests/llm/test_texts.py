@@ -1,5 +1,7 @@
 """Subtitle parsing, leaked passages and subject areas on small made-up files."""
 
+import random
+
 import pytest
 
 from brindle.llm import eval_leaks, subject_areas
@@ -167,6 +169,32 @@ def test_areas(spark):
     assert got[1, "law"] == (4, 8) and got[0, "music"] == (4, 11) and got[0, "law"] == (3, 11)
 
 
+def test_every_word_has_a_slot(spark, monkeypatch):
+    """With room for few words the others share slots, and subjects are still found."""
+    monkeypatch.setattr(subject_areas, "MOST_WORDS", 60)
+    docs = [(i, srt([AREAS[("music", "law")[i % 2]][(i + j) % 6] + "." for j in range(5)] + [TALK[(i + j) % 6] + "." for j in range(3)])) for i in range(60)]
+    d, ex = area_frames(spark, docs)
+    words = subject_areas.cue_words(d)
+    model = subject_areas.fit(words, subject_areas.read_examples(ex))
+    assert len(model.vocabulary) <= 60 and model.phi.shape[1] == len(model.vocabulary) + subject_areas.BUCKETS
+    assert len(model.likelihoods) > 1 and model.likelihoods[-1] >= model.likelihoods[0]
+    assert {(r["doc_id"], r["area"]) for r in subject_areas.areas_of(words, model).collect()} == {(i, ("music", "law")[i % 2]) for i in range(60)}
+
+
+def test_areas_recall_on_longer_made_up_files(spark):
+    rng = random.Random(4)
+    docs, want = [], set()
+    for i in range(150):
+        a, b = rng.sample(["music", "law", None], 2)
+        n = rng.randint(10, 40)
+        lines = [rng.choice(AREAS[x] if x else TALK) + "." for x in rng.choices([a, b], [3, 2], k=n)]
+        shares = {x: sum(line[:-1] in AREAS[x] for line in lines) / n for x in AREAS}
+        want |= {(i, x) for x, s in shares.items() if s >= 0.2}
+        docs.append((i, srt(lines)))
+    got = {(r["doc_id"], r["area"]) for r in subject_areas.subjects(*area_frames(spark, docs)).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 def test_areas_of_nothing(spark):
     d, ex = area_frames(spark, [])
     assert subject_areas.subjects(d, ex).count() == 0
