@@ -18,7 +18,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, product
+from itertools import chain, islice, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +56,11 @@ def split_h(word: str) -> bytes:
     return fold(word.replace("li", "h"))
 
 
+def split_d(word: str) -> bytes:
+    """fold() of a word in which cl is el with a misread sign, and no d."""
+    return fold(word.replace("cl", "el").replace("CL", "EL"))
+
+
 def tokens(words: list[str]) -> tuple[list[bytes], list[int]]:
     """Folded words that are not empty, numbers as # and their digits; and the position of each among the words."""
     out, at = [], []
@@ -89,6 +94,7 @@ class Index:
     pairs: dict[bytes, dict[bytes, list[tuple[int, int]]]] = field(default_factory=dict)
     plains: dict[bytes, set[bytes]] = field(default_factory=dict)
     splits: dict[bytes, set[tuple[bytes, bool]]] = field(default_factory=dict)
+    letters: dict[bytes, set[tuple[bytes, bool]]] = field(default_factory=dict)
     edits: dict[bytes, set[tuple[bytes, bool]]] = field(default_factory=dict)
     read: dict[str, tuple[bytes, ...]] = field(default_factory=dict)
     folded: dict[str, bytes] = field(default_factory=dict)
@@ -101,6 +107,7 @@ class Index:
             if b[:1] != b"#":
                 out |= self.plains.get(plain(word), set())
                 out |= {a for a, li in self.splits.get(split_h(word), ()) if li or "li" in word}
+                out |= {a for a, cl in self.letters.get(split_d(word), ()) if cl or "cl" in word.lower()}
                 odd = _odd(word)
                 out |= {a for key in _shorter(b) for a, marked in self.edits.get(key, ()) if (odd or marked) and _edits(a, b)}
             if len(self.read) >= KEPT:
@@ -109,35 +116,66 @@ class Index:
         return got
 
     def kinds(self, toks: list[bytes]) -> list[bytes]:
-        """The template: n for a number, x for a name, a unit or an unknown word, other words as they are."""
+        """The template: n for a number, u for a unit or other value after a number, x for a name or other value, and the words
+        of the template as they are."""
         frames = self.frames
-        return [b"#n" if t[:1] == b"#" else t if t in frames else b"#x" for t in toks]
+        return [b"#n" if t[:1] == b"#" else t if t in frames else b"#u" if before[:1] == b"#" else b"#x" for before, t in zip([b"", *toks], toks, strict=False)]
 
 
-def build_index(rows: list[tuple[int, str]], least: int = WINDOW) -> Index:
-    """Index of items, whose runs of ``least`` words or more are sought. Names are words with a capital inside a sentence, units words that follow a number, for half of their
-    places at least; words in few of many items are values like those."""
-    ix = Index()
-    slot: Counter[bytes] = Counter()
-    seen: Counter[bytes] = Counter()
-    for ident, text in rows:
+def token_counts(rows: list[tuple[int, str]]) -> dict[bytes, list[int]]:
+    """Of each folded word: its places, those where it looks like a name or unit, and the items that hold it.
+
+    A name is a word with a capital inside a sentence, a unit a word that follows a number.
+    """
+    out: dict[bytes, list[int]] = {}
+    for _, text in rows:
         words = text.split()
         toks, at = tokens(words)
-        if not toks:
-            continue
         for k, (t, i) in enumerate(zip(toks, at, strict=True)):
-            seen[t] += 1
+            c = out.setdefault(t, [0, 0, 0])
+            c[0] += 1
             inside = i > 0 and words[i - 1][-1] not in ".?!:"
-            if t[:1] != b"#" and (inside and words[i].strip(EDGES)[:1].isupper() or k and toks[k - 1][:1] == b"#"):
-                slot[t] += 1
-        ix.ids.append(ident)
-        ix.words.append(words)
-        ix.toks.append(toks)
-        ix.at.append(at)
-    items_with = Counter(t for toks in ix.toks for t in set(toks))
-    slots = {t for t, n in seen.items() if 2 * slot[t] >= n or items_with[t] <= FEW * len(ix.toks)}
-    ix.known = frozenset(seen)
-    ix.frames = frozenset(t for t in seen if t not in slots and t[:1] != b"#")
+            c[1] += t[:1] != b"#" and (inside and words[i].strip(EDGES)[:1].isupper() or k > 0 and toks[k - 1][:1] == b"#")
+        for t in set(toks):
+            out[t][2] += 1
+    return out
+
+
+def is_frame(word: bytes, places: int, slots: int, items_with: int, items: int) -> bool:
+    """Whether a word belongs to the templates: no number, no name or unit for half of its places, and in FEW of the items or more."""
+    return word[:1] != b"#" and 2 * slots < places and items_with > FEW * items
+
+
+def frame_words(items: DataFrame) -> frozenset[bytes]:
+    """The words of the templates of all items (i, t). Each stands in FEW of the items at least, so there are no more than
+    the words of an item by 1 / FEW."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = token_counts(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+            n = [b.num_rows] + [0] * len(c)  # the items themselves under the empty word
+            yield pa.RecordBatch.from_arrays([pa.array([b"", *c], pa.binary()), *[pa.array([0, *[v[j] for v in c.values()]], pa.int64()) for j in range(3)], pa.array(n, pa.int64())], names=["w", "p", "s", "i", "n"])
+
+    sums = items.mapInArrow(work, "w binary, p bigint, s bigint, i bigint, n bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in "psin"])
+    total = (sums.filter(F.col("w") == b"").first() or {"n": 0})["n"]
+    often = sums.filter((F.col("i") > FEW * total) & (2 * F.col("s") < F.col("p"))).collect()
+    return frozenset(bytes(r["w"]) for r in often if is_frame(bytes(r["w"]), r["p"], r["s"], r["i"], total))
+
+
+def build_index(rows: list[tuple[int, str]], least: int = WINDOW, frames: frozenset[bytes] | None = None) -> Index:
+    """Index of items, whose runs of ``least`` words or more are sought. frames: the words of the templates, if they come from more items than these."""
+    ix = Index()
+    for ident, text in rows:
+        words = text.split()
+        toks, at = tokens(words)
+        if toks:
+            ix.ids.append(ident)
+            ix.words.append(words)
+            ix.toks.append(toks)
+            ix.at.append(at)
+    counts = token_counts(rows)
+    ix.known = frozenset(counts)
+    ix.frames = frozenset(t for t, c in counts.items() if is_frame(t, *c, len(ix.toks))) if frames is None else frames
     windows: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
     for n, toks in enumerate(ix.toks):
         kinds = ix.kinds(toks)
@@ -152,7 +190,7 @@ def build_index(rows: list[tuple[int, str]], least: int = WINDOW) -> Index:
 def _add_seeds(ix: Index, least: int) -> None:
     """What a run of ``least`` words holds at least one of: ``gram`` words one by one, or words in other spacing."""
     ix.gram = max(1, min(WINDOW, least))
-    grams, plains, splits, edits = defaultdict(list), defaultdict(set), defaultdict(set), defaultdict(set)
+    grams, plains, splits, letters, edits = defaultdict(list), defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
     joins: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {k: defaultdict(list) for k in (1, 2, 3)}
     pairs: dict[bytes, dict[bytes, list[tuple[int, int]]]] = {}
     for n, (words, toks, at) in enumerate(zip(ix.words, ix.toks, ix.at, strict=True)):
@@ -173,10 +211,11 @@ def _add_seeds(ix: Index, least: int) -> None:
             if not u.isascii():
                 plains[plain(u)].add(a)
             splits[split_h(u)].add((a, "li" in u))
+            letters[split_d(u)].add((a, "cl" in u.lower()))
             if len(a) > 3:
                 for key in _shorter(a):
                     edits[key].add((a, _odd(u)))
-    ix.pairs = pairs
+    ix.pairs, ix.letters = pairs, dict(letters)
     ix.grams, ix.joins, ix.plains, ix.splits, ix.edits = dict(grams), {k: dict(v) for k, v in joins.items()}, dict(plains), dict(splits), dict(edits)
 
 
@@ -219,6 +258,8 @@ class Passage:
             return True
         if ("li" in u or "li" in v) and split_h(u) == split_h(v):
             return True
+        if ("cl" in u or "cl" in v or "CL" in u or "CL" in v) and split_d(u) == split_d(v):
+            return True
         return (_odd(u) or _odd(v)) and len(a) > 3 and _edits(a, b)
 
     def step(self, i: int, j: int, way: int) -> tuple[int, int]:
@@ -246,7 +287,7 @@ class Passage:
         p = self.folded.get(u)
         if p is None:
             p = self.folded[u] = fold(u)
-        return len(p) > 2 and (p == fold(v) or ("li" in u or "li" in v) and split_h(u) == split_h(v)) and DIGIT.findall(u) == DIGIT.findall(v)
+        return (len(p) > 2 or u == v) and (p == fold(v) or ("li" in u or "li" in v) and split_h(u) == split_h(v)) and DIGIT.findall(u) == DIGIT.findall(v)
 
     def run(self, i: int, j: int, a: int = 1, b: int = 1) -> tuple[int, int, int, int]:
         """Bounds (item from, to, document from, to) of the agreeing words around a words from i on and b from j on, which agree."""
@@ -325,16 +366,51 @@ def _seeds(ix: Index, words: list[str], toks: list[bytes], at: list[int]) -> Ite
                                 yield n, p, j, 2, 2
 
 
+def _edge(words: list[str], start: int, end: int) -> int:
+    """Words among those from start to end that fold to nothing and yet have letters."""
+    return sum(any(c.isalpha() for c in w) for w in words[max(0, start) : end])
+
+
+def _length(ix: Index, n: int, words: list[str], at: list[int], run: tuple[int, int, int, int]) -> int:
+    """Words of the item in a run, with those beside it that fold to nothing and stand beside it in the document, too."""
+    lo, hi, lj, hj = run
+    ia, iw = ix.at[n], ix.words[n]
+    length = ia[hi - 1] - ia[lo] + 1
+    for i, j, item_end, doc_end in ((lo - 1, lj - 1, ia[lo], at[lj]), (hi, hj, None, None)):
+        if item_end is not None:
+            a, b = _edge(iw, ia[i] + 1 if i >= 0 else 0, item_end), _edge(words, at[j] + 1 if j >= 0 else 0, doc_end)
+        else:
+            a, b = _edge(iw, ia[hi - 1] + 1, ia[i] if i < len(ia) else len(iw)), _edge(words, at[hj - 1] + 1, at[j] if j < len(at) else len(words))
+        length += min(a, b)
+    return length
+
+
 def find(ix: Index, text: str, least: int, asked_again: int) -> list[tuple[int, str, int, int]]:
     """(item number, kind, words, position in the document) of each item that a document speaks."""
-    words: list[str] = []
+    spoken: list[list[str]] = []
+    plain_words: list[str] = []
+    doubt = False
     for cue in cues(text):
         for line in cue:
-            spoken = line.split()
-            # a label in a line of capitals looks like its words; items name no speakers
-            while spoken and spoken[0][-1] == ":" and len(spoken[0]) > 3 and spoken[0].isupper() and fold(spoken[0]) not in ix.known:
-                del spoken[0]
-            words += spoken
+            said = line.split()
+            spoken.append(said)
+            # a label in a line of capitals looks like its words
+            while said and said[0][-1] == ":" and len(said[0]) > 3 and said[0].isupper():
+                doubt = doubt or fold(said[0]) in ix.known
+                said = said[1:]
+            plain_words += said
+    found = _find(ix, plain_words, least, asked_again)
+    if not doubt:
+        return found
+    # it may be a word of an item, so both readings are followed
+    best: dict[tuple[int, str], tuple[int, str, int, int]] = {}
+    for f in [*found, *_find(ix, list(chain.from_iterable(spoken)), least, asked_again)]:
+        if f[2] > best.get(f[:2], (0, "", 0, 0))[2]:
+            best[f[:2]] = f
+    return [f for f in best.values() if f[1] == "verbatim" or (f[0], "verbatim") not in best]
+
+
+def _find(ix: Index, words: list[str], least: int, asked_again: int) -> list[tuple[int, str, int, int]]:
     if not words:
         return []
     toks, at = tokens(words)
@@ -352,7 +428,7 @@ def find(ix: Index, text: str, least: int, asked_again: int) -> list[tuple[int,
         lo, hi, lj, hj = passage.run(p, j, a, b)
         if (a, b) == (1, 1):
             done[n, p - j] = hj
-        length = ix.at[n][hi - 1] - ix.at[n][lo] + 1
+        length = _length(ix, n, words, at, (lo, hi, lj, hj)) if hi - lo >= least - 8 else hi - lo
         if length > best.get(n, (0, 0))[0]:
             best[n] = (length, at[lj])
     diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
@@ -394,10 +470,13 @@ def leaks(
     """
     texts = documents.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).alias("t")).na.drop()
-    out, rows = None, []
+    out, feed = None, wanted.toLocalIterator()
+    rows = list(islice(feed, BLOCK))
+    ahead = list(islice(feed, BLOCK))
+    frames = frame_words(wanted) if ahead else None
 
     def search(rows: list[tuple[int, str]]) -> DataFrame:
-        ix = build_index(rows, least)
+        ix = build_index(rows, least, frames)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -412,10 +491,7 @@ def leaks(
 
         return texts.mapInArrow(work, LEAKS)
 
-    for row in wanted.toLocalIterator():
-        rows.append((row["i"], row["t"]))
-        if len(rows) == BLOCK:
-            out, rows = (search(rows) if out is None else out.unionByName(search(rows))), []
-    if rows or out is None:
-        out = search(rows) if out is None else out.unionByName(search(rows))
+    while rows or out is None:
+        part = search([(r["i"], r["t"]) for r in rows])
+        out, rows, ahead = part if out is None else out.unionByName(part), ahead, list(islice(feed, BLOCK))
     return out
