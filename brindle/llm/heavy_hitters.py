@@ -21,6 +21,8 @@ from brindle.session import written
 
 #: Distinct values that a node holds before it closes its counts and goes on as a further node.
 NODE_LIMIT = 4_000_000
+#: With a share of the bound under FEW rows a node, nodes are merged into MERGED ones.
+FEW, MERGED = 16, 64
 
 
 def _local_counts(limit: int):
@@ -64,7 +66,9 @@ def top_values(df: DataFrame, value: str, k: int, node_limit: int = NODE_LIMIT)
     A node is a task's share of the input, or a part of it once node_limit distinct values
     are held, so memory is bounded; the local counts are written to the shared folder, sorted
     within each node, and no phase gathers more than leaders and candidates: at most k rows a
-    node in the first, fewer than rows / threshold in the second.
+    node in the first, fewer than rows / threshold in the second. Where nodes are so many and so
+    small that the threshold falls under FEW rows, their counts are merged into MERGED nodes
+    first, by a shuffle of (node, value), so that the threshold doesn't sink with their number.
     """
     kind = df.schema[value].dataType.simpleString()
     local = written(df.select(F.col(value).alias("value")).mapInArrow(_local_counts(node_limit), f"node bigint, value {kind}, n bigint"), "local-counts")
@@ -74,6 +78,10 @@ def top_values(df: DataFrame, value: str, k: int, node_limit: int = NODE_LIMIT)
     bound = _kth(leaders, k)
     # phase 2: with no fewer than bound / nodes rows nowhere, a value can't reach the bound
     share = max(1, -(-bound // max(1, nodes)))
+    if share < FEW and nodes > MERGED:  # so many small nodes that the share says little
+        groups = local.groupBy((F.col("node") % 1_000_003 % MERGED).alias("node"), "value").agg(F.sum("n").alias("n"))
+        local, nodes = written(groups, "merged-counts"), MERGED
+        share = max(1, -(-bound // nodes))
     partial = local.filter(F.col("n") >= share).groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seen"))
     bound = max(bound, _kth(partial, k))
     # a value has less than share rows in each node that did not report it

@@ -46,6 +46,14 @@ def test_top_values_are_exact(spark, limit):
     assert [tuple(r) for r in heavy_hitters.top_values(df, "fid", 20, limit).collect()] == want
 
 
+def test_small_nodes_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(heavy_hitters, "MERGED", 3)
+    values = [i % 40 for i in range(2000)] + list(range(1000, 2500)) + [7] * 9 + [11] * 5
+    df = spark.createDataFrame([(v,) for v in values], "fid bigint").repartition(8)
+    want = sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[:12]
+    assert [tuple(r) for r in heavy_hitters.top_values(df, "fid", 12, 100).collect()] == want
+
+
 def test_top_values_of_few_ties_strings_and_nothing(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,)], "s string")
     assert [tuple(r) for r in heavy_hitters.top_values(df, "s", 2).collect()] == [("c", 2), ("a", 1)]
