@@ -126,6 +126,18 @@ def normal_code(x: Column, mu: float, sigma: float, bits: int) -> Column:
     return F.least(F.floor(normal_cdf(x, mu, sigma) * n), F.lit(n - 1)).cast("int")
 
 
+def log_value(code: Column, low: float, high: float, bits: int) -> Column:
+    """Middle of a logarithmic bucket, with its sign; 0 for code 0."""
+    span = (math.log(high) - math.log(low)) / ((1 << (bits - 1)) - 1)
+    size = F.exp(lit(math.log(low)) + (F.abs(code).cast("double") - lit(0.5)) * lit(span))
+    return F.when(code == 0, lit(0)).otherwise(F.signum(code.cast("double")) * size)
+
+
+def normal_value(code: Column, mu: float, sigma: float, bits: int) -> Column:
+    """Quantile at the middle of an equally likely bucket."""
+    return lit(mu) + lit(sigma) * inverse_cdf((code.cast("double") + lit(0.5)) / lit(1 << bits))
+
+
 def lowbit(x: Column, bits: int) -> Column:
     """1 bit: the sign, as a third; 2 bits: the sign with a quarter or three quarters."""
     if bits == 1:
@@ -142,6 +154,28 @@ def varuint_length(x: Column) -> Column:
     return out.otherwise(1).cast("int")
 
 
+def varuint_encode(x: Column) -> Column:
+    """An unsigned integer in base 128 as hexadecimal bytes, lowest seven bits first, the high bit set on all but the last."""
+    n = varuint_length(x)
+    group = lambda i: F.shiftrightunsigned(x, 7 * i).bitwiseAND(F.lit(127))
+    bytes_ = [F.when(F.lit(i) < n, F.lpad(F.hex(group(i) + F.when(F.lit(i) < n - 1, 128).otherwise(0)), 2, "0")).otherwise("") for i in range(9)]
+    return F.concat(*bytes_)
+
+
+def varuint_decode(text: Column) -> Column:
+    """The inverse of varuint_encode."""
+    n = (F.length(text) / 2).cast("int")
+    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, 2), 16, 10).cast("bigint").bitwiseAND(F.lit(127))
+    return sum((F.when(F.lit(i) < n, F.shiftleft(byte(i), 7 * i)).otherwise(F.lit(0).cast("bigint")) for i in range(9)), F.lit(0).cast("bigint"))
+
+
+def draw_normal(x: Column) -> tuple[Column, Column]:
+    """Two independent standard normal numbers of an integer id, by radius and angle."""
+    u, v = (hash_mix(x * 2) * lit(2147483646 / 2147483647) + lit(1 / 4294967294)), hash_mix(x * 2 + 1)
+    radius = F.sqrt(lit(-2) * F.log(u))
+    return radius * F.cos(lit(2 * math.pi) * v), radius * F.sin(lit(2 * math.pi) * v)
+
+
 def hash_unit(x: Column) -> Column:
     """A fixed pseudo-random number in [0, 1) of an integer id, for initial parameters."""
     return (x * F.lit(1103515245) + F.lit(12345)) % F.lit(2147483648) / lit(2147483648)

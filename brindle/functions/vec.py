@@ -98,3 +98,9 @@ def softmax(x: Column, temperature: float = 1.0, floor: float = 1e-7) -> Column:
 
 def rounded(x: Column, digits: int = 4) -> Column:
     return F.transform(x, lambda v: F.round(v, digits))
+
+
+def matmul(x: Column, y: Column, rows: int, inner: int, cols: int) -> Column:
+    """Product of two matrices that lie row by row."""
+    cell = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(inner - 1)), F.lit(0.0), lambda s, k: s + F.get(x, (F.floor(c / cols) * inner).cast("int") + k) * F.get(y, (k * cols + c % cols).cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), cell)

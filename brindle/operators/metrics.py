@@ -44,9 +44,18 @@ def auc(scored: DataFrame, bits: int = 24) -> DataFrame:
     ranges = ranges.select("r", F.coalesce(F.sum("rp").over(over), F.lit(0)).alias("above"))
     inside = Window.partitionBy("r").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
     h = h.join(ranges, "r").withColumn("cum", F.col("above") + F.sum("pos").over(inside))
-    area = F.sum(F.col("neg") * (2 * F.col("cum") - F.col("pos")) / 2.0)
+    area = F.sum(F.col("neg").cast("double") * (2.0 * F.col("cum") - F.col("pos")) / 2.0)
     out = h.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), area.alias("area"))
-    return out.select("positives", "negatives", F.coalesce(F.try_divide("area", F.col("positives") * F.col("negatives")), F.lit(0.0)).alias("auc"))
+    return out.select("positives", "negatives", F.coalesce(F.try_divide("area", F.col("positives").cast("double") * F.col("negatives")), F.lit(0.0)).alias("auc"))
+
+
+def adaboost_reweight(votes: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(row_id, learner, weight) for the next round: weights by exp(-alpha) where the learner was right, exp(alpha) where it
+    was wrong, to a sum of 1 a learner. votes as for ``adaboost_round``, rounds its result: a row a learner."""
+    alpha = F.least("alpha", F.lit(50.0))
+    moved = votes.join(F.broadcast(rounds.select("learner", "alpha")), "learner").select("row_id", "learner", (F.col("weight") * F.exp(F.when(F.col("correct"), -alpha).otherwise(alpha))).alias("w"))
+    total = moved.groupBy("learner").agg(F.sum("w").alias("total"))
+    return moved.join(F.broadcast(total), "learner").select("row_id", "learner", (F.col("w") / F.col("total")).alias("weight"))
 
 
 def adaboost_round(votes: DataFrame) -> DataFrame:

@@ -76,20 +76,18 @@ def mixture_train(rows: DataFrame, model: list[Gauss], epochs: int, tolerance: f
     return model, lls
 
 
-def plsa_step(counts: DataFrame, dz: DataFrame, zw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New p(z|d) and p(w|z) from counts (doc_id, wid, n), dz (doc_id, pz ARRAY) and zw (wid, pw ARRAY).
+def plsa_step(counts: DataFrame, dz: DataFrame, zw: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """New p(z|d) and p(w|z) of k topics from counts (doc_id, wid, n), dz (doc_id, pz ARRAY) and zw (wid, pw ARRAY).
 
     Both model tables hold a topic array a row, so the join multiplies no rows.
     """
     j = plsa_joined(counts, dz, zw)
-    k = j.select(F.size("q").alias("k")).limit(1).collect()
-    k = k[0]["k"] if k else 0
     sums = [F.sum(F.col("n") * F.col("q")[z]).alias(f"q{z}") for z in range(k)]
-    arr = F.array(*[F.col(f"q{z}") for z in range(k)]) if k else F.array().cast("array<double>")
+    arr = F.array(*[F.col(f"q{z}") for z in range(k)])
     by_doc = j.groupBy("doc_id").agg(F.sum("n").alias("nd"), *sums).select("doc_id", V.scale(arr, F.lit(1.0) / F.col("nd")).alias("pz"))
     by_word = j.groupBy("wid").agg(*sums).select("wid", arr.alias("s"))
-    totals = by_word.agg(*[F.sum(F.col("s")[z]).alias(f"t{z}") for z in range(k)]).first() if k else None
-    inv = doubles([1.0 / max(totals[f"t{z}"] or 0.0, 1e-300) for z in range(k)]) if k else F.array().cast("array<double>")
+    totals = by_word.agg(*[F.sum(F.col("s")[z]).alias(f"t{z}") for z in range(k)]).first()
+    inv = doubles([1.0 / max(totals[f"t{z}"] or 0.0, 1e-300) for z in range(k)])
     return by_doc, by_word.select("wid", F.zip_with("s", inv, lambda a, b: a * b).alias("pw"))
 
 

@@ -2,7 +2,7 @@
 
 A network is a list of layers; each layer turns a batch into a batch and, on the way back,
 an output gradient into an input gradient and parameter gradients. Weights are small beside
-the data and travel with each pass's functions; a task sends one gradient a parameter.
+the data and travel with each pass's functions; tasks' gradients are summed on the executors.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brindle.session import written
 
 CLIP = 15.0
 
@@ -21,7 +24,7 @@ def _init(shape: tuple[int, ...], seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 1 / np.sqrt(fan), shape)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
@@ -34,7 +37,7 @@ class Dense:
     def forward(self, x: np.ndarray) -> np.ndarray:
         self.x = x
         z = x @ self.p[0] + self.p[1]
-        self.y = {"linear": lambda: z, "sigmoid": lambda: _sigmoid(z), "tanh": lambda: np.tanh(z), "relu": lambda: np.maximum(z, 0)}[self.act]()
+        self.y = {"linear": lambda: z, "sigmoid": lambda: sigmoid(z), "tanh": lambda: np.tanh(z), "relu": lambda: np.maximum(z, 0)}[self.act]()
         return self.y
 
     def backward(self, g: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -72,6 +75,20 @@ class Conv:
         return gx, [gf, g.sum(axis=(0, 2, 3))]
 
 
+class Dropout:
+    """Leaves out a share of the values while learning, by a mask fixed by seed and place, and scales the others up."""
+
+    def __init__(self, rate: float):
+        self.rate, self.training, self.seed, self.p = rate, False, 0, []
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        self.mask = np.ones(x.shape) if not self.training else (np.random.default_rng(self.seed).random(x.shape) >= self.rate) / (1 - self.rate)
+        return x * self.mask
+
+    def backward(self, g: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return g * self.mask, []
+
+
 class MaxPool:
     def __init__(self, k: int):
         self.k, self.p = k, []
@@ -129,7 +146,7 @@ class LSTM:
         self.x, self.tape, out = x, [], []
         for s in range(t):
             z = x[:, s] @ self.p[0] + h @ self.p[1] + self.p[2]
-            f, i, o = (_sigmoid(z[:, k * self.h : (k + 1) * self.h]) for k in range(3))
+            f, i, o = (sigmoid(z[:, k * self.h : (k + 1) * self.h]) for k in range(3))
             u = np.tanh(z[:, 3 * self.h :])
             c2 = f * c + i * u
             self.tape.append((h, c, f, i, o, u, c2))
@@ -161,7 +178,7 @@ class Attention:
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         self.x = x
-        self.e = _sigmoid(x @ self.p[0] + self.p[1])
+        self.e = sigmoid(x @ self.p[0] + self.p[1])
         s = (self.e @ self.p[2])[..., 0]
         s = np.exp(s - s.max(axis=1, keepdims=True))
         self.a = s / s.sum(axis=1, keepdims=True)
@@ -204,15 +221,15 @@ def softmax_loss(y: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
 
 def logistic_loss(y: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
     z = y[:, 0]
-    return float((np.maximum(z, 0) - z * label + np.log1p(np.exp(-np.abs(z)))).sum()), (_sigmoid(z) - label)[:, None]
+    return float((np.maximum(z, 0) - z * label + np.log1p(np.exp(-np.abs(z)))).sum()), (sigmoid(z) - label)[:, None]
 
 
 def rebuild_loss(y: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
     return float(((y - x) ** 2).sum() / 2), y - x
 
 
-def gradients(net: list, x: np.ndarray, target: np.ndarray, loss) -> tuple[float, list[np.ndarray]]:
-    """Summed loss and parameter gradients of a batch."""
+def backward(net: list, x: np.ndarray, target: np.ndarray, loss) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """Summed loss of a batch, parameter gradients, and the gradient of its input."""
     y = x
     for layer in net:
         y = layer.forward(y)
@@ -222,51 +239,145 @@ def gradients(net: list, x: np.ndarray, target: np.ndarray, loss) -> tuple[float
     for layer in reversed(net):
         g, gp = layer.backward(g)
         grads.append(gp)
-    return value, [p for gp in reversed(grads) for p in gp]
+    return value, [p for gp in reversed(grads) for p in gp], g
+
+
+def gradients(net: list, x: np.ndarray, target: np.ndarray, loss) -> tuple[float, list[np.ndarray]]:
+    """Summed loss and parameter gradients of a batch."""
+    return backward(net, x, target, loss)[:2]
 
 
 def params(net: list) -> list[np.ndarray]:
     return [p for layer in net for p in layer.p]
 
 
-def train(rows: DataFrame, net: list, loss, steps: int, lr: float = 0.1, target: str = "label", batch: int = 256) -> list[float]:
-    """Full passes of Adagrad over (row_id, label, x); returns the mean loss before each step. target: label, or x to rebuild the input."""
-    state = [np.zeros_like(p) for p in params(net)]
-    losses = []
-    for _ in range(steps):
-
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n, sums = 0.0, 0, None
-            for f in frames:
-                for s in range(0, len(f), batch):
-                    part = f.iloc[s : s + batch]
-                    x = np.stack(part["x"].to_numpy()).astype(np.float64)
-                    value, g = gradients(net, x, x if target == "x" else part[target].to_numpy(), loss)
-                    total, n, sums = total + value, n + len(part), g if sums is None else [a + b for a, b in zip(sums, g, strict=True)]
+#: Numbers in a block of gradients, which is what tasks send and sums are taken over.
+BLOCK = 65_536
+
+
+def blocks(grads: list[np.ndarray]) -> list[bytes]:
+    flat = np.concatenate([g.ravel() for g in grads])
+    return [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+
+
+def summed(parts: DataFrame, net: list) -> list[np.ndarray]:
+    """Sums of tasks' gradients (block, g), taken on the executors by block; one copy reaches the driver."""
+
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(f["g"].iloc[0]).copy()
+        for g in f["g"].iloc[1:]:
+            total += np.frombuffer(g)
+        return pd.DataFrame({"block": f["block"].iloc[:1], "g": [total.tobytes()]})
+
+    got = parts.groupBy("block").applyInPandas(work, "block int, g binary").collect()
+    if not got:
+        return [np.zeros_like(p) for p in params(net)]
+    flat = np.concatenate([np.frombuffer(r["g"]) for r in sorted(got, key=lambda r: r["block"])])
+    out, at = [], 0
+    for p in params(net):
+        out.append(flat[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return out
+
+
+def adagrad(net: list, state: list[np.ndarray], grads: list[np.ndarray], lr: float) -> None:
+    """Mean gradients, clipped, into the net's weights."""
+    for p, acc, g in zip(params(net), state, grads, strict=True):
+        g = np.clip(g, -CLIP, CLIP)
+        acc += g * g
+        p -= lr * g / np.sqrt(acc + 1e-7)
+
+
+def _mode(net: list, training: bool, seed: int = 0) -> None:
+    for i, layer in enumerate(net):
+        if isinstance(layer, Dropout):
+            layer.training, layer.seed = training, seed * 1000 + i
+
+
+def _pass(rows: DataFrame, net: list, loss, target: str, batch: int, learn: bool) -> tuple[float, int, list[np.ndarray]]:
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, sums = 0.0, 0, None
+        for f in frames:
+            for s in range(0, len(f), batch):
+                part = f.iloc[s : s + batch]
+                x = np.stack(part["x"].to_numpy()).astype(np.float64)
+                value, g = gradients(net, x, x if target == "x" else part[target].to_numpy(), loss)
+                total, n, sums = total + value, n + len(part), g if sums is None else [a + b for a, b in zip(sums, g, strict=True)]
+        if n:
+            out = blocks(sums) if learn else []
+            yield pd.DataFrame({"block": [-1, *range(len(out))], "loss": [total] + [0.0] * len(out), "n": [n] + [0] * len(out), "g": [b"", *out]})
+
+    out = written(rows.select("row_id", "label", "x").mapInPandas(work, "block int, loss double, n bigint, g binary"), "gradients")
+    one = out.agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+    n = one["n"] or 0
+    return one["loss"] or 0.0, n, summed(out.filter("block >= 0").select("block", "g"), net) if learn and n else []
+
+
+def train(rows: DataFrame, net: list, loss, steps: int, lr: float = 0.1, target: str = "label", batch: int = 256, parts: int = 1, held_out: float = 0.0) -> list[float]:
+    """Adagrad over (row_id, label, x), steps epochs; returns a mean loss an epoch. target: label, or x to rebuild the input.
+
+    An epoch is a full pass, or parts mini-batches into which a hash of row_id and epoch
+    shuffles the rows, with an update after each. The loss is that of the epoch's rows before
+    their updates; with held_out, the share of rows (by hash) that is never learnt from, it is
+    the loss of those after the epoch. Dropout layers drop only while learning. The net keeps
+    its weights and may be given to ``predict``. No rows, no losses.
+    """
+    state, losses = [np.zeros_like(p) for p in params(net)], []
+    place = lambda epoch: F.pmod(F.xxhash64("row_id", F.lit(epoch)), F.lit(1_000_000))
+    learnt = rows.filter(place(-1) >= int(held_out * 1_000_000)) if held_out else rows
+    for epoch in range(steps):
+        total = count = 0
+        for part in range(parts):
+            _mode(net, True, epoch * parts + part)
+            here = learnt.filter(place(epoch) % parts == part) if parts > 1 else learnt
+            value, n, grads = _pass(here, net, loss, target, batch, True)
             if n:
-                yield pd.DataFrame({"loss": [total], "n": [n], "g": [np.concatenate([a.ravel() for a in sums]).tobytes()]})
-
-        got = rows.select("row_id", "label", "x").mapInPandas(work, "loss double, n bigint, g binary").collect()
-        n = sum(r["n"] for r in got)
-        if not n:
+                adagrad(net, state, [g / n for g in grads], lr)
+            total, count = total + value, count + n
+        _mode(net, False)
+        if held_out:
+            total, count, _ = _pass(rows.filter(place(-1) < int(held_out * 1_000_000)), net, loss, target, batch, False)
+        if not count:
             return losses
-        losses.append(sum(r["loss"] for r in got) / n)
-        flat = sum(np.frombuffer(r["g"]) for r in got) / n
-        at = 0
-        for p, acc in zip(params(net), state, strict=True):
-            g = np.clip(flat[at : at + p.size].reshape(p.shape), -CLIP, CLIP)
-            at += p.size
-            acc += g * g
-            p -= lr * g / np.sqrt(acc + 1e-7)
+        losses.append(total / count)
     return losses
 
 
-def cnn(side: int, classes: int) -> list:
-    """Convolutions with a sparse link table between them, pooling, two dense layers."""
-    a = side - 2
-    b = a // 2 - 1
-    links = np.array([[(i + j) % 3 != 0 for i in range(6)] for j in range(16)])
-    return [Reshape(1, side, side), Conv(1, 6, 3), MaxPool(2), Conv(6, 16, 2, links=links), Flatten(), Dense(16 * b * b, 32, "sigmoid"), Dense(32, classes)]
+def predict(rows: DataFrame, net: list, batch: int = 1024) -> DataFrame:
+    """(row_id, y ARRAY<DOUBLE>): the net's output for (row_id, x). The first layers alone give an encoding."""
+    _mode(net, False)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for s in range(0, len(f), batch):
+                part = f.iloc[s : s + batch]
+                y = np.stack(part["x"].to_numpy()).astype(np.float64)
+                for layer in net:
+                    y = layer.forward(y)
+                yield pd.DataFrame({"row_id": part["row_id"], "y": list(y.reshape(len(part), -1))})
+
+    return rows.select("row_id", "x").mapInPandas(work, "row_id bigint, y array<double>")
+
+
+#: Which of 6 maps feed which of 16 filters (fixed values): a row an input map, a column a filter.
+LINKS = (
+    "1000111001111011",
+    "1100011100111101",
+    "1110001110010111",
+    "0111001111001011",
+    "0011100111101101",
+    "0001110011110111",
+)
+
+
+def cnn(side: int, classes: int, hidden: int = 32, size: int = 2) -> list:
+    """Three convolutions of 6, 16 and 20 filters, the second over the link table, pooling after the first, two dense layers.
+    Images of 28 take size 5 with stride 2 and then 3; smaller ones smaller filters."""
+    links = np.array([[c == "1" for c in row] for row in LINKS]).T
+    first, stride, rest = (5, 2, 3) if side >= 28 else (size, 1, size)
+    a = ((side - first) // stride + 1) // 2
+    b = a - 2 * (rest - 1)
+    return [Reshape(1, side, side), Conv(1, 6, first, stride), MaxPool(2), Conv(6, 16, rest, links=links), Conv(16, 20, rest, seed=4), Flatten(), Dense(20 * b * b, hidden, "sigmoid"), Dense(hidden, classes)]
 
 
 def rnn(steps: int, width: int, hidden: int, classes: int) -> list:

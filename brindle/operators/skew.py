@@ -25,7 +25,9 @@ def eager_join_aggregate(
     Equals ``left JOIN right USING (key) GROUP BY left_groups, right_groups`` (by key where
     no groups are given) with ``n_pairs = count(*)`` and the sums named in left_sums and
     right_sums. Each side becomes (key, groups, count, sums); counts multiply, the sums of
-    one side are multiplied by the count of the other; then everything is rolled up.
+    one side are multiplied by the count of the other; then everything is rolled up. n_pairs
+    is a decimal of 38 digits, for counts of a key hot on both sides don't fit 64 bits. Of a
+    key with very many groups on both sides, adaptive execution splits the join.
 
     Null keys match nothing, as in SQL. Null measures add nothing; a sum over nulls only is
     null. Empty inputs give no rows. Other columns of the inputs are ignored, so clashing
@@ -47,9 +49,9 @@ def eager_join_aggregate(
     joined = state(left, ls, lg, "l").join(state(right, rs, rg, "r"), F.col("l_key") == F.col("r_key"))
     by = [F.col(f"l_g{i}").alias(g) for i, g in enumerate(lg)] + [F.col(f"r_g{i}").alias(g) for i, g in enumerate(rg)]
     return joined.groupBy(*(by or [F.col("l_key").alias(key)])).agg(
-        F.sum(F.col("l_n") * F.col("r_n")).alias("n_pairs"),
-        *[F.sum(F.col(f"l_m{i}") * F.col("r_n")).alias(name) for i, name in enumerate(ls)],
-        *[F.sum(F.col(f"r_m{i}") * F.col("l_n")).alias(name) for i, name in enumerate(rs)],
+        F.sum((F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(19,0)")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("n_pairs"),
+        *[F.sum(F.col(f"l_m{i}") * F.col("r_n").cast("double")).alias(name) for i, name in enumerate(ls)],
+        *[F.sum(F.col(f"r_m{i}") * F.col("l_n").cast("double")).alias(name) for i, name in enumerate(rs)],
     )
 
 
@@ -57,11 +59,12 @@ def top_row_per_key(df: DataFrame, key: str, value: str, row: str) -> DataFrame:
     """(key, value, row, n_rows, n_ties): for each key the row of the largest value, of equal values the smallest row.
 
     This is the join of the rows with the largest value of their key, aggregated eagerly:
-    the rows become states (key, value) -> (smallest row, count), the bounds become
-    key -> (largest value, count), the compact states are joined on both columns, and each
-    joined pair is already the roll-up of its key. A hot key's rows are combined before
-    either shuffle, and its distinct values spread over all partitions, because the states
-    are hashed by key and value together.
+    the rows become states (key, value) -> (smallest row, count), the states become bounds
+    key -> (largest value, count), the compact states and bounds are joined on both columns,
+    and each joined pair is already the roll-up of its key. A hot key's rows are combined
+    before either shuffle, and its distinct values spread over all partitions, because the
+    states are hashed by key and value together. The table is read and shuffled once: either
+    side of the join takes the states from the same exchange.
 
     Rows with a null key or value don't count; null rows count as rows but name none (a key
     with such rows only has a null row). NaN is the largest value, as in Spark's ordering.
@@ -72,9 +75,11 @@ def top_row_per_key(df: DataFrame, key: str, value: str, row: str) -> DataFrame:
         F.col("k").isNotNull() & F.col("v").isNotNull()
     )
     states = rows.groupBy("k", "v").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
-    bounds = rows.groupBy("k").agg(F.max("v").alias("top"), F.count(F.lit(1)).alias("rows_of_key"))
-    bounds = bounds.select(F.col("k").alias("bound_key"), "top", "rows_of_key")
-    joined = states.join(bounds, (F.col("k") == F.col("bound_key")) & (F.col("v") == F.col("top")))
+    bounds = states.groupBy("k").agg(F.max("v").alias("top"), F.sum("n").alias("rows_of_key"), F.min("r").alias("least"))
+    bounds = bounds.select(F.col("k").alias("bound_key"), "top", "rows_of_key", "least")
+    # the last condition always holds; it asks both sides for the same columns, so that they share one exchange
+    whole = F.col("r").isNull() | (F.col("r") >= F.col("least"))
+    joined = states.join(bounds, (F.col("k") == F.col("bound_key")) & (F.col("v") == F.col("top")) & whole)
     return joined.select(
         F.col("k").alias(key), F.col("v").alias(value), F.col("r").alias(row), F.col("rows_of_key").alias("n_rows"), F.col("n").alias("n_ties")
     )

@@ -20,7 +20,7 @@ def p1_pair_sums(spark: SparkSession, d: str) -> DataFrame:
     out = eager_join_aggregate(
         rows.filter("field < 6"), rows.filter("field >= 6"), "fid", {"left_val": F.col("val")}, {"right_val": F.col("val")}
     )
-    return out.select("fid", "n_pairs", F.round("left_val", 2).alias("left_val"), F.round("right_val", 2).alias("right_val"))
+    return out.select("fid", F.col("n_pairs").cast("bigint").alias("n_pairs"), F.round("left_val", 2).alias("left_val"), F.round("right_val", 2).alias("right_val"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -111,7 +111,14 @@ def first_per_field(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("row_id", "field").agg(first).select("row_id", "field", F.col("m.fid").alias("fid"))
 
 
-_STOP = ["the", "a", "an", "of", "to", "in", "and", "is", "it", "you", "that", "for", "on", "with", "we", "he", "she", "they", "be", "are"]
+#: Words without a subject of their own, in the four languages of the texts (fixed values).
+_STOP = (
+    "the a an of to in and is it you that for on with we he she they be are "
+    "le la les un une des du de et est il elle vous que pour sur avec nous ils pas "
+    "der die das ein eine und ist es du ich wir sie ihr nicht mit auf von zu den "
+    "el los las una y en que por con no se al lo su del"
+).split()
+_STOP = sorted(set(_STOP))
 
 
 @query(f"WITH {WORDS_SQL} SELECT doc_id, count(*) AS kept FROM words WHERE word NOT IN ({', '.join(repr(w) for w in _STOP)}) AND length(word) > 1 GROUP BY doc_id")
@@ -210,14 +217,21 @@ def loss_logistic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum(loss), 4).alias("loss"))
 
 
-@query(f"""WITH {DENSE_SQL}, e AS (SELECT label, x[1:10] AS x FROM dense), s AS (SELECT label, exp(x[label + 1]) / list_sum(list_transform(x, lambda v: exp(v))) AS p FROM e)
+@query(f"""WITH {DENSE_SQL}, e AS (SELECT label, list_transform(range(0, 10), lambda c: list_sum(list_transform(range(0, 7), lambda m: coalesce(x[m * 10 + c + 1], 0)))) AS x FROM dense), s AS (SELECT label, exp(x[label + 1]) / list_sum(list_transform(x, lambda v: exp(v))) AS p FROM e)
   SELECT label, count(*) AS n, round(sum(-ln(p)), 4) AS loss FROM s GROUP BY label""")
 def loss_softmax(spark: SparkSession, d: str) -> DataFrame:
-    p = F.element_at(V.softmax(F.slice("x", 1, 10)), F.col("label") + 1)
+    """Ten logits, each the sum of every tenth value."""
+    logits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: V.total(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda m: F.coalesce(F.get("x", m * 10 + c), F.lit(0.0)))))
+    p = F.element_at(V.softmax(logits), F.col("label") + 1)
     return ads.dense(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(-F.log(p)), 4).alias("loss"))
 
 
-@query(None)
+_HALVE = f"""WITH RECURSIVE b(p, lo, hi, n) AS (SELECT p, CAST(-5 AS DOUBLE), CAST(5 AS DOUBLE), 0 FROM g
+    UNION ALL SELECT p, CASE WHEN {_CDF.replace('X', '((lo + hi) / 2)')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_CDF.replace('X', '((lo + hi) / 2)')} < p THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM b WHERE n < 40),
+  q AS (SELECT p, (lo + hi) / 2 AS x FROM b WHERE n = 40)"""
+
+
+@query(f"""{_HALVE.replace('WITH RECURSIVE ', "WITH RECURSIVE g(p) AS (SELECT i / 100 FROM range(1, 100) r(i)), ")} SELECT p, round(x, 5) + 0 AS x, round({_CDF.replace('X', 'x')}, 5) AS back FROM q""")
 def inverse_cdf(spark: SparkSession, d: str) -> DataFrame:
     """Round trip of the quantile: |CDF(quantile(p)) - p| stays under 1e-6 (checked in tests)."""
     p = spark.range(1, 100).select((F.col("id") / 100.0).alias("p"))
@@ -225,7 +239,7 @@ def inverse_cdf(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p", F.round(x, 5).alias("x"), F.round(S.normal_cdf(x), 5).alias("back"))
 
 
-@query(None)
+@query(f"""{_HALVE.replace('WITH RECURSIVE ', "WITH RECURSIVE c(confidence, error) AS (SELECT CAST(a AS DOUBLE), CAST(b AS DOUBLE) FROM (VALUES (0.9), (0.95), (0.99)) x(a), (VALUES (0.01), (0.05)) y(b)), g(p) AS (SELECT DISTINCT (confidence + 1) / 2 FROM c), ")} SELECT confidence, error, CAST(ceil(x * x / (4 * error * error)) AS BIGINT) AS n FROM c JOIN q ON q.p = (confidence + 1) / 2""")
 def subsample_size(spark: SparkSession, d: str) -> DataFrame:
     """Rows to draw for a share's error e at confidence c: (z / 2e)^2 with z the quantile of (1 + c) / 2."""
     grid = spark.createDataFrame([(c, e) for c in (0.9, 0.95, 0.99) for e in (0.01, 0.05)], "confidence double, error double")
@@ -270,7 +284,14 @@ def varuint_length(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.varuint_length(x).alias("bytes"))
 
 
-@query(None)
+#: Half precision of v > 0 below 65520: mantissas of 2^(e - 10), to nearest even.
+_HALF = "least(greatest(floor(log2(abs(v))), -14), 15)"
+
+
+@query(f"""WITH a AS (SELECT event_id, value AS v, CASE WHEN value = 0 THEN -14 ELSE {_HALF.replace('v', 'value')} END AS e FROM events),
+  b AS (SELECT event_id, v, e, round_even(abs(v) / power(2, e - 10), 0) AS m FROM a),
+  c AS (SELECT event_id, v, CASE WHEN m >= 2048 THEN e + 1 ELSE e END AS e, CASE WHEN m >= 2048 THEN 1024 ELSE m END AS m FROM b)
+  SELECT event_id, v AS value, CAST((CASE WHEN v < 0 THEN 32768 ELSE 0 END) + CASE WHEN m < 1024 THEN m ELSE (e + 15) * 1024 + m - 1024 END AS INTEGER) AS bits, sign(v) * m * power(2, e - 10) + 0 AS back FROM c""")
 def float16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Values through IEEE half precision, to nearest even, with their 16 bits."""
 
@@ -283,7 +304,15 @@ def float16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "value", half("value").alias("h")).select("event_id", "value", "h.bits", "h.back")
 
 
-@query(None)
+def _mul(z: str, k: int) -> str:
+    """The lower 64 bits of a product of 64-bit numbers, from halves of the constant that don't overflow 128 bits."""
+    low, high = k & 0xFFFFFFFF, k >> 32
+    wrap = "18446744073709551616"
+    return f"((({z}) * {low} + ((({z}) * {high}) % {wrap}) * 4294967296) % {wrap})"
+
+
+@query(f"""WITH a AS (SELECT event_id, CAST(event_id AS HUGEINT) AS z FROM events), b AS (SELECT event_id, {_mul('xor(z, z >> 33)', 0xFF51AFD7ED558CCD)} AS z FROM a),
+  c AS (SELECT event_id, {_mul('xor(z, z >> 33)', 0xC4CEB9FE1A85EC53)} AS z FROM b) SELECT event_id, CAST(xor(z, z >> 33) % 4294967296 AS BIGINT) AS h FROM c""")
 def murmur_hash(spark: SparkSession, d: str) -> DataFrame:
     """The 64-bit finaliser of MurmurHash3, lower 32 bits."""
 

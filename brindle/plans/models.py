@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from brindle.functions import optim
 from brindle.functions import scalar as S
 from brindle.functions import vec as V
-from brindle.operators import boosting, embedding, factorization, mixtures, nets
+from brindle.operators import boosting, deep, embedding, factorization, forest, mixtures, nets
 from brindle.plans.book import Book, mix_sql, unit_sql
 from brindle.plans.relational import doc_term, vocab
-from brindle.session import shared_dir, table
+from brindle.session import shared_dir, table, written
 from brindle.sources import ads
 from brindle.sources.ads import AD_SQL, DENSE_SQL, WORDS_SQL
 from brindle.streaming import online
@@ -147,12 +147,12 @@ def wide_deep_forward(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- optimizers over fixed parameters and the gradients of events
 
-_OPT_SQL = f"par AS (SELECT k.fid, {unit_sql('k.fid')} - 0.5 AS w, g / 100 AS g, g IS NULL AS none FROM (SELECT DISTINCT user_id % 100 AS fid FROM events) k LEFT JOIN (SELECT user_id % 100 AS fid, sum(value - 50) AS g FROM events WHERE user_id % 3 = 0 GROUP BY 1) g ON g.fid = k.fid), m AS (SELECT fid, w, coalesce(g, 0) AS m FROM par)"
+_OPT_SQL = f"par AS (SELECT k.fid, {unit_sql('k.fid')} - 0.5 AS w, g / 100 AS g, g IS NULL AS none FROM (SELECT DISTINCT user_id % 100 AS fid FROM events) k LEFT JOIN (SELECT user_id % 100 AS fid, sum(value - 50) AS g FROM events GROUP BY 1) g ON g.fid = k.fid), m AS (SELECT fid, w, coalesce(g, 0) AS m FROM par)"
 
 
 def _opt(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select((F.col("user_id") % 100).alias("fid"), "user_id", "value")
-    g = e.filter("user_id % 3 = 0").groupBy("fid").agg(F.sum(F.col("value") - 50).alias("g"))
+    g = e.groupBy("fid").agg(F.sum(F.col("value") - 50).alias("g"))
     return e.select("fid").distinct().withColumn("w", S.hash_unit(F.col("fid")) - 0.5).join(g, "fid", "left")
 
 
@@ -201,7 +201,7 @@ _opt_query("dropout_mask", {"w": f"CASE WHEN {mix_sql('fid')} < 0.8 THEN w / 0.8
 
 # ---- boosting
 
-_GBM_SQL = f"""{DENSE_SQL}, feat AS (SELECT row_id, CAST(i AS INTEGER) AS fid, x[i] AS val FROM dense, range(1, 65) r(i) WHERE abs(x[i]) >= 0.02 AND i <= 16),
+_GBM_SQL = f"""{DENSE_SQL}, feat AS (SELECT row_id, CAST(i AS INTEGER) AS fid, x[i] AS val FROM dense, range(1, 65) r(i) WHERE abs(x[i]) >= 0.02),
   st AS (SELECT row_id, 0 AS cls, CAST(1 + row_id % 2 AS BIGINT) AS node, 0.5 - CAST(label >= 5 AS INTEGER) AS g, CAST(0.25 AS DOUBLE) AS h FROM dense),
   tot AS (SELECT cls, node, CAST(sum(g) AS DOUBLE) AS tg, sum(h) AS th, count(*) AS n FROM st GROUP BY cls, node)"""
 _T = lambda g, h: f"power(sign({g}) * greatest(abs({g}) - 1e-5, 0), 2) / ({h} + 1e-5)"
@@ -214,7 +214,7 @@ _SPLIT_SQL = f"""{_GBM_SQL}, bv AS (SELECT cls, node, fid, val, CAST(sum(g) AS D
 
 def _gbm(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = ads.dense(spark, d)
-    f = x.select("row_id", F.posexplode("x").alias("i", "val")).filter((F.abs("val") >= 0.02) & (F.col("i") < 16)).select("row_id", (F.col("i") + 1).alias("fid"), "val")
+    f = x.select("row_id", F.posexplode("x").alias("i", "val")).filter(F.abs("val") >= 0.02).select("row_id", (F.col("i") + 1).alias("fid"), "val")
     g = F.lit(0.5) - (F.col("label") >= 5).cast("int")
     return x.select("row_id", F.lit(0).alias("cls"), (1 + F.col("row_id") % 2).alias("node"), g.alias("g"), F.lit(0.25).alias("h")), f
 
@@ -331,7 +331,7 @@ _PLSA_SQL = f"""{WORDS_SQL}, freq AS (SELECT word, count(*) AS freq FROM words G
 
 
 def _plsa(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    counts = doc_term(spark, d)
+    counts = written(doc_term(spark, d), "counts")
     voc = vocab(spark, d).select("wid", F.array(*[S.hash_unit(F.col("wid").cast("bigint") * 10 + z) + 0.1 for z in range(_TOPICS)]).alias("u"))
     tot = voc.agg(*[F.sum(F.col("u")[z]).alias(f"t{z}") for z in range(_TOPICS)]).first()
     inv = F.array(*[F.lit(1.0 / (tot[f"t{z}"] or 1.0)) for z in range(_TOPICS)])
@@ -347,7 +347,7 @@ def plsa_estep(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PLSA_SQL}, s AS (SELECT wid, z, sum(n * q) AS s FROM qz GROUP BY wid, z) SELECT wid, CAST(z AS INTEGER) AS z, round(s / sum(s) OVER (PARTITION BY z), 6) AS pw FROM s")
 def plsa_mstep(spark: SparkSession, d: str) -> DataFrame:
-    _, zw = mixtures.plsa_step(*_plsa(spark, d))
+    _, zw = mixtures.plsa_step(*_plsa(spark, d), _TOPICS)
     return zw.select("wid", F.posexplode("pw").alias("z", "pw")).select("wid", "z", F.round("pw", 6).alias("pw"))
 
 
@@ -366,12 +366,9 @@ def topic_of_word(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def plsa_train(spark: SparkSession, d: str) -> DataFrame:
-    from brindle.session import written
-
     counts, dz, zw = _plsa(spark, d)
-    counts = written(counts, "counts")
     for _ in range(3):
-        dz, zw = (written(t, "plsa") for t in mixtures.plsa_step(counts, dz, zw))
+        dz, zw = (written(t, "plsa") for t in mixtures.plsa_step(counts, dz, zw, _TOPICS))
     return zw
 
 
@@ -422,12 +419,12 @@ def pca_gha(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- layers with fixed weights
 
-_DW = np.array([[_u(7400000 + i * 100 + j) - 0.5 for i in range(8)] for j in range(3)])
+_DW = np.array([[_u(7400000 + i * 100 + j) - 0.5 for i in range(64)] for j in range(3)])
 
 
-@query(f"WITH {DENSE_SQL}, h AS (SELECT row_id, list_transform({_lists(_DW)}, lambda w: {' + '.join(f'w[{i}] * x[{i}]' for i in range(1, 9))}) AS h FROM dense) SELECT row_id, CAST(j AS INTEGER) AS j, round(1 / (1 + exp(-h[j])), 6) AS y FROM h, range(1, 4) q(j)")
+@query(f"WITH {DENSE_SQL}, h AS (SELECT row_id, list_transform({_lists(_DW)}, lambda w: {' + '.join(f'w[{i}] * x[{i}]' for i in range(1, 65))}) AS h FROM dense) SELECT row_id, CAST(j AS INTEGER) AS j, round(1 / (1 + exp(-h[j])), 6) AS y FROM h, range(1, 4) q(j)")
 def dense_forward(spark: SparkSession, d: str) -> DataFrame:
-    y = F.transform(_arr(_DW), lambda w: S.sigmoid(V.dot(w, F.slice("x", 1, 8))))
+    y = F.transform(_arr(_DW), lambda w: S.sigmoid(V.dot(w, F.col("x"))))
     return ads.dense(spark, d).select("row_id", F.posexplode(y).alias("p", "y")).select("row_id", (F.col("p") + 1).alias("j"), F.round("y", 6).alias("y"))
 
 
@@ -476,13 +473,11 @@ def vae_kl(spark: SparkSession, d: str) -> DataFrame:
     return ads.dense(spark, d).select("row_id", F.round(V.total(F.zip_with(mu, lv, lambda m, v: F.exp(v) - 1 - v + m * m)) / 2, 6).alias("kl"))
 
 
-@query(f"WITH {DENSE_SQL}, a AS (SELECT row_id AS i, k, x[k] AS v FROM dense, range(1, 65) q(k) WHERE row_id < 64), b AS (SELECT k, row_id - 64 AS j, x[k] AS v FROM dense, range(1, 65) q(k) WHERE row_id BETWEEN 64 AND 127) SELECT i, j, round(sum(a.v * b.v), 6) + 0 AS v FROM a JOIN b ON a.k = b.k GROUP BY i, j")
+@query(f"WITH {DENSE_SQL}, r AS (SELECT row_id, x, list_reverse(x) AS y FROM dense) SELECT row_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(list_sum(list_transform(range(1, 9), lambda k: x[i * 8 + k] * y[(k - 1) * 8 + j + 1])), 6) + 0 AS v FROM r, range(0, 8) a(i), range(0, 8) b(j)")
 def matmul(spark: SparkSession, d: str) -> DataFrame:
-    """Product of two 64 x 64 matrices in long form, joined on the inner index."""
-    flat = ads.dense(spark, d).select("row_id", F.posexplode("x").alias("k", "v"))
-    a = flat.filter("row_id < 64").select(F.col("row_id").alias("i"), "k", F.col("v").alias("a"))
-    b = flat.filter("row_id BETWEEN 64 AND 127").select("k", (F.col("row_id") - 64).alias("j"), F.col("v").alias("b"))
-    return a.join(b, "k").groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("v"))
+    """Each vector as an 8 x 8 matrix times its reverse as another, inside its row."""
+    x = ads.dense(spark, d).select("row_id", "x", F.reverse("x").alias("y"))
+    return x.select("row_id", F.posexplode(V.matmul(F.col("x"), F.col("y"), 8, 8, 8)).alias("c", "v")).select("row_id", F.floor(F.col("c") / 8).cast("int").alias("i"), (F.col("c") % 8).alias("j"), F.round("v", 6).alias("v"))
 
 
 @query("""WITH RECURSIVE s(step, w, b) AS (SELECT 0, [CAST(1 AS DOUBLE), 2, 3, 4], CAST(0.3 AS DOUBLE) UNION ALL
@@ -518,37 +513,39 @@ def ffm_train(spark: SparkSession, d: str) -> DataFrame:
     return factorization.ffm_train(ads.ad_long(spark, d), K, 2)[0]
 
 
-def _losses(spark: SparkSession, losses: list[float]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
-
-
 @query(None)
 def nfm_train(spark: SparkSession, d: str) -> DataFrame:
-    """The dense part over bi-interaction vectors of fixed factors."""
-    rows = ads.ad_long(spark, d)
-    x = bi_interaction(rows, factorization.initial(rows, K)).select("row_id", "label", F.concat(F.array("wx"), F.col("b")).alias("x"))
-    return _losses(spark, nets.train(x, [nets.Dense(K + 1, 8, "sigmoid"), nets.Dense(8, 1)], nets.logistic_loss, 3))
+    """Weights and factors of every feature, learnt together with the dense part over the bi-interaction vectors."""
+    return deep.train(ads.ad_long(spark, d), K, deep.nfm(K), [nets.Dense(K, 8, "sigmoid"), nets.Dense(8, 1)], 2)[0].select("fid", "w", "v")
 
 
 @query(None)
 def wide_deep_train(spark: SparkSession, d: str) -> DataFrame:
-    x = _embedded(ads.ad_long(spark, d)).select("row_id", "label", F.concat(F.array("wx"), F.col("x")).alias("x"))
-    return _losses(spark, nets.train(x, [nets.Dense(17, 16, "tanh"), nets.Dense(16, 1)], nets.logistic_loss, 3))
+    """Wide weights and embeddings of every feature, learnt together with the dense part over the fields' embeddings."""
+    return deep.train(ads.ad_long(spark, d), K, deep.wide_deep(K, [0, 1, 2, 3]), [nets.Dense(16, 16, "tanh"), nets.Dense(16, 1)], 2)[0].select("fid", "w", "v")
 
 
 @query(None)
 def cnn_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, nets.train(ads.dense(spark, d), nets.cnn(8, 10), nets.softmax_loss, 2))
+    """The class of every row by a trained net."""
+    net = nets.cnn(8, 10)
+    nets.train(ads.dense(spark, d), net, nets.softmax_loss, 2)
+    return nets.predict(ads.dense(spark, d), net).select("row_id", V.argmax(F.col("y")).alias("cls"))
 
 
 @query(None)
 def rnn_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, nets.train(ads.dense(spark, d), nets.rnn(8, 8, 16, 10), nets.softmax_loss, 2))
+    net = nets.rnn(8, 8, 16, 10)
+    nets.train(ads.dense(spark, d), net, nets.softmax_loss, 2)
+    return nets.predict(ads.dense(spark, d), net).select("row_id", V.argmax(F.col("y")).alias("cls"))
 
 
 @query(None)
 def vae_train(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, nets.train(ads.dense(spark, d), nets.vae(64, 24, 6), nets.rebuild_loss, 2, target="x"))
+    """The latent means of every row."""
+    net = nets.vae(64, 24, 6)
+    nets.train(ads.dense(spark, d), net, nets.rebuild_loss, 2, target="x")
+    return nets.predict(ads.dense(spark, d), net[:2]).select("row_id", F.slice("y", 1, 6).alias("mu"))
 
 
 @query(None)
@@ -569,23 +566,9 @@ def cbow_train(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def ann_build_query(spark: SparkSession, d: str) -> DataFrame:
-    """Five neighbours of every hundredth vector from a hyperplane forest over a sample of at most 100 000 vectors, exactly ranked."""
-    pdf = ads.dense(spark, d).orderBy("row_id").limit(100_000).toPandas()
-    ids, x = pdf["row_id"].to_numpy(), np.stack(pdf["x"].to_numpy())
-    forest, place = embedding.build_forest(ids, x, 8), {int(i): n for n, i in enumerate(ids)}
-
-    def work(frames):
-        for f in frames:
-            rows = []
-            for q, v in zip(f["row_id"], f["x"], strict=True):
-                c = embedding.query_forest(forest, np.asarray(v), 60)
-                c = c[c != q]
-                s = np.round(x[[place[int(i)] for i in c]] @ np.asarray(v), 6)
-                for i in np.lexsort((c, -s))[:5]:
-                    rows.append((q, int(c[i]), float(s[i])))
-            yield pd.DataFrame(rows, columns=["query", "row_id", "score"])
-
-    return ads.dense(spark, d).filter("row_id % 100 = 0").select("row_id", "x").mapInPandas(work, "query bigint, row_id bigint, score double")
+    """Five largest inner products with every hundredth vector from a hyperplane forest that holds every vector."""
+    x = ads.dense(spark, d)
+    return forest.nearest(x, x.filter("row_id % 100 = 0"), forest.fit(x, 8), 5)
 
 
 @query(None)

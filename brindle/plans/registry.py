@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import core_problems, features, models, relational
+from brindle.plans import core_problems, extras, features, models, relational
 
-BOOKS = [core_problems, features.B, relational.B, models.B]
+BOOKS = [core_problems, features.B, relational.B, models.B, extras.B]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

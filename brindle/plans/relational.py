@@ -35,12 +35,12 @@ def param_lookup_join(spark: SparkSession, d: str) -> DataFrame:
     return ads.ad_long(spark, d).join(params(spark, d), "fid").groupBy("row_id").agg(F.round(F.sum(F.col("w") * F.col("val")), 4).alias("wx"))
 
 
-@query(f"WITH {AD_SQL}, {PARAMS_SQL} SELECT k.fid, coalesce(w, 0) AS w FROM (SELECT DISTINCT fid FROM ad WHERE row_id < 1000) k LEFT JOIN (SELECT * FROM params WHERE fid % 3 <> 0) p ON k.fid = p.fid")
+@query(f"WITH {AD_SQL}, {PARAMS_SQL} SELECT k.batch, k.fid, coalesce(w, 0) AS w FROM (SELECT DISTINCT CAST(floor(row_id / 1000) AS BIGINT) AS batch, fid FROM ad) k LEFT JOIN (SELECT * FROM params WHERE fid % 3 <> 0) p ON k.fid = p.fid")
 def ps_pull_join(spark: SparkSession, d: str) -> DataFrame:
-    """Weights for the keys of one mini-batch; unseen keys get 0."""
-    keys = ads.ad_long(spark, d).filter("row_id < 1000").select("fid").distinct()
+    """Weights for the distinct keys of every mini-batch; keys that the server doesn't hold get 0."""
+    keys = ads.ad_long(spark, d).select(F.floor(F.col("row_id") / 1000).alias("batch"), "fid").distinct()
     held = params(spark, d).filter("fid % 3 <> 0")
-    return keys.join(held, "fid", "left").select("fid", F.coalesce("w", F.lit(0.0)).alias("w"))
+    return keys.join(held, "fid", "left").select("batch", "fid", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
 _VOCAB_SQL = f"""{WORDS_SQL}, freq AS (SELECT word, count(*) AS freq FROM words GROUP BY word),
@@ -383,11 +383,14 @@ PUSH_SQL = "pushes AS (SELECT event_id AS arrival, user_id % 4 AS worker, CAST(f
 @query(f"WITH {PUSH_SQL}, s AS (SELECT *, max(epoch) OVER (ORDER BY arrival) AS newest FROM pushes) SELECT key, count(*) AS n, round(sum(grad), 3) AS grad FROM s WHERE epoch + 10 >= newest GROUP BY key")
 def late_drop(spark: SparkSession, d: str) -> DataFrame:
     """Pushes not more than ten epochs behind the newest that had arrived. The running maximum is taken in blocks of
-    arrivals: within each block, and over the blocks' maxima, so no task holds all rows."""
+    arrivals, in blocks of those, and over the maxima of the latter, so that no task holds all rows or all blocks."""
     p = pushes(spark, d).withColumn("block", F.floor(F.col("arrival") / 10000))
-    tops = p.groupBy("block").agg(F.max("epoch").alias("top"))
-    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("block", F.max("top").over(before).alias("before"))
+    tops = p.groupBy("block").agg(F.max("epoch").alias("top")).withColumn("part", F.floor(F.col("block") / 10000))
+    parts = tops.groupBy("part").agg(F.max("top").alias("top"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.max("top").over(earlier(Window.partitionBy(F.lit(0)).orderBy("part"))).alias("far"))
+    near = F.max("top").over(earlier(Window.partitionBy("part").orderBy("block")))
+    tops = tops.withColumn("near", near).join(parts, "part").select("block", F.greatest("near", "far").alias("before"))
     inside = Window.partitionBy("block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
     s = p.join(tops, "block").withColumn("newest", F.greatest(F.max("epoch").over(inside), F.coalesce("before", F.lit(-(1 << 60)))))
     return s.filter("epoch + 10 >= newest").groupBy("key").agg(N().alias("n"), F.round(F.sum("grad"), 3).alias("grad"))

@@ -53,8 +53,13 @@ def rechunk(values: Column, width: int) -> Column:
 
 
 def write_model(params: DataFrame, path: str) -> None:
-    """Parameters that are not 0, as a table."""
-    params.filter(F.col("w") != 0).write.mode("overwrite").parquet(path)
+    """Parameters (fid, w, v ...) of which the weight or a factor is not 0, as a table."""
+    params.filter((F.col("w") != 0) | F.exists("v", lambda v: v != 0)).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """The inverse of write_model; features left out weigh nothing."""
+    return spark.read.parquet(path)
 
 
 def write_scores(scored: DataFrame, path: str) -> None:
@@ -97,10 +102,9 @@ DENSE_SQL = "dense AS (SELECT vec_id AS row_id, label, CAST(embedding AS DOUBLE[
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """documents in English as (doc_id, pos, word): maximal runs of letters, lower-cased, as the text lies."""
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "word"))
+    """documents as (doc_id, pos, word): maximal runs of letters of any script, lower-cased, as the text lies."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("pos", "word"))
 
 
-WORDS_SQL = """raw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'),
+WORDS_SQL = r"""raw AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
   words AS (SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM raw))"""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import scalar as S
-from brindle.operators import boosting, embedding, factorization, knn, metrics, mixtures, nets
+from brindle.operators import boosting, deep, embedding, factorization, forest, knn, metrics, mixtures, nets
 from brindle.plans.models import _cluster_rows, _gbm, _start
 from brindle.sources import ads
 from brindle.streaming import online
@@ -104,6 +104,67 @@ def test_networks_learn(spark, small):
     assert nets.train(rows.limit(0), nets.cnn(8, 10), nets.softmax_loss, 2) == []
 
 
+def test_minibatches_dropout_and_held_out_rows(spark, small):
+    rows = ads.dense(spark, small).withColumn("label", (F.col("x")[0] > 0).cast("int")).withColumn("x", F.transform("x", lambda v: v * 8)).cache()
+    net = [nets.Dense(64, 16, "tanh"), nets.Dropout(0.2), nets.Dense(16, 10)]
+    losses = nets.train(rows, net, nets.softmax_loss, 3, parts=3, held_out=0.2)
+    assert len(losses) == 3 and losses[-1] < losses[0]
+    a = {r["row_id"]: r["y"] for r in nets.predict(rows, net).collect()}
+    assert len(a) == rows.count() and all(len(y) == 10 for y in a.values())
+    drop = nets.Dropout(0.5)
+    x = np.ones((200, 30))
+    assert (drop.forward(x) == x).all()
+    drop.training = True
+    y = drop.forward(x)
+    assert set(np.unique(y)) == {0.0, 2.0} and abs(y.mean() - 1) < 0.05 and (drop.backward(x)[0] == y).all()
+
+
+@pytest.mark.parametrize("kind", ["nfm", "wide_deep"])
+def test_deep_models_learn_weights_and_vectors(spark, small, kind):
+    k = 2
+    rows = ads.ad_long(spark, small).filter("row_id < 80").cache()
+    shape = deep.nfm(k) if kind == "nfm" else deep.wide_deep(k, [0, 1, 2, 3])
+    net = [nets.Dense(shape.width, 4, "sigmoid"), nets.Dense(4, 1)]
+    p0 = factorization.initial(rows, k).cache()
+    grads, g, loss, n = deep.step(rows, p0, k, shape, net, l2=0.0)
+    assert n == 80
+    by = {r["fid"]: r for r in grads.collect()}
+    value = lambda p: deep.step(rows, p, k, shape, net, l2=0.0)[2]
+    fid, e = sorted(by)[1], 1e-4
+    for what, want in (("w", by[fid]["gw"]), ("v", by[fid]["gv"][1])):
+        move = lambda s, what=what: p0.withColumn("w", F.col("w") + F.when((F.col("fid") == fid) & F.lit(what == "w"), s).otherwise(0.0)).withColumn(
+            "v", F.transform("v", lambda v, i: v + F.when((F.col("fid") == fid) & (i == 1) & F.lit(what == "v"), s).otherwise(0.0))
+        )
+        assert (value(move(e)) - value(move(-e))) / (2 * e) == pytest.approx(want, abs=1e-3)
+    net[1].p[0][2, 0] += e
+    up = value(p0)
+    net[1].p[0][2, 0] -= 2 * e
+    down = value(p0)
+    net[1].p[0][2, 0] += e
+    assert (up - down) / (2 * e) == pytest.approx(g[2][2, 0], abs=1e-3)
+    params, net, losses = deep.train(rows, k, shape, net, 3)
+    assert losses[-1] < losses[0] and params.join(p0.select("fid", F.col("v").alias("v0")), "fid").filter("v <> v0").count() > 0
+    assert deep.predict(rows, params, k, shape, net).filter("p > 0 AND p < 1").count() == 80
+    assert deep.train(rows.limit(0), k, shape, net, 2)[2] == []
+
+
+def test_forest_holds_every_vector_and_finds_its_neighbours(spark, small, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLE", 200)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1200, 16)) + rng.normal(size=(12, 16)).repeat(100, axis=0) * 3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "row_id bigint, x array<double>")
+    trees = forest.fit(rows, 8)
+    held = forest.placed(rows, trees).groupBy("tree").agg(F.countDistinct("row_id").alias("n")).collect()
+    assert [r["n"] for r in held] == [1200] * 8
+    got = {(r["query"], r["row_id"]) for r in forest.nearest(rows, rows.filter("row_id % 20 = 0"), trees, 5).collect()}
+    want = set()
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        want |= {(q, int(j)) for j in [j for j in np.argsort(-s) if j != q][:5]}
+    assert len(got & want) >= 0.9 * len(want)
+    assert forest.nearest(rows.limit(0), rows.limit(0), forest.fit(rows.limit(0), 2), 5).count() == 0
+
+
 def test_huffman_is_prefix_free_and_short():
     codes, paths = embedding.huffman([50, 20, 20, 5, 3, 2])
     assert all(not b.startswith(a) for i, a in enumerate(codes) for j, b in enumerate(codes) if i != j)

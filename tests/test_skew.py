@@ -41,8 +41,11 @@ def test_top_row_takes_nan_as_largest(spark):
 
 def test_top_row_never_sends_a_hot_keys_rows_to_one_task(spark):
     df = spark.range(50_000).select(F.lit(1).cast("bigint").alias("k"), (F.col("id") % 10).cast("double").alias("v"), F.col("id").alias("r"))
-    plan = top_row_per_key(df, "k", "v", "r")._jdf.queryExecution().executedPlan().toString()
+    top = top_row_per_key(df, "k", "v", "r")
+    plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_min") >= 1 and plan.count("partial_max") >= 1 and "Window" not in plan
+    top.collect()
+    assert "ReusedExchange" in top._jdf.queryExecution().executedPlan().toString()
     assert top_row_per_key(df, "k", "v", "r").first()["r"] == 9
 
 
@@ -57,3 +60,14 @@ def test_eager_join_equals_the_join(spark):
     for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert x["n_pairs"] == y["n"] and abs(x["sx"] - y["sx"]) < 1e-6 and abs(x["sy"] - y["sy"]) < 1e-6
     assert eager_join_aggregate(a.limit(0), b, "k").count() == 0
+
+
+def test_counts_of_a_key_hot_on_both_sides_do_not_overflow(spark):
+    """Five thousand million rows of one key on either side, as states that are already compact."""
+    big = spark.createDataFrame([(1, 5_000_000_000)], "k int, n bigint")
+    many = F.sequence(F.lit(1), F.lit(3))
+    a = big.select("k", F.explode(many).alias("i"))
+    out = eager_join_aggregate(a, a, "k", {"s": F.lit(4e18)}, {"t": F.lit(4e18)}).first()
+    assert out["n_pairs"] == 9 and abs(out["s"] - 36e18) < 1e6
+    product = big.select((F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("decimal(38,0)").alias("p")).first()["p"]
+    assert int(product) == 25 * 10**18
