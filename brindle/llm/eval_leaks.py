@@ -67,7 +67,7 @@ def tokens(words: list[str]) -> tuple[list[bytes], list[int]]:
     if not words:
         return out, at
     for i, (w, f) in enumerate(zip(words, fold(" ".join(words)).split(b" "), strict=True)):
-        if DIGIT.search(w):
+        if not w.isalpha() and DIGIT.search(w):
             n = w.strip(EDGES)
             if NUMBER.match(n):
                 f = b"#" + n.translate(DIGITS).encode()
