@@ -83,23 +83,45 @@ def grow(state: DataFrame, feats: DataFrame, depth: int, min_h: float = 1.0) ->
     return levels, state
 
 
-def train(rows: DataFrame, feats: DataFrame, classes: int, trees: int, depth: int, lr: float = 0.6) -> tuple[list[dict], list[float], DataFrame]:
-    """Softmax boosting of (row_id, label): per tree its levels and leaf weights, the log-loss before each, and the last margins (row_id, label, m ARRAY)."""
+def _kept(c: Column, tree: int, share: float) -> Column:
+    """Whether a hash of a row or feature and the tree's number draws it into the tree's sample."""
+    return F.pmod(F.xxhash64(c, F.lit(tree)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def train(rows: DataFrame, feats: DataFrame, classes: int, trees: int, depth: int, lr: float = 0.6, row_share: float = 1.0, feature_share: float = 1.0) -> tuple[list[dict], list[float], DataFrame]:
+    """Boosting of (row_id, label): per tree its levels and leaf weights, the log-loss before each, and the last margins
+    (row_id, label, m ARRAY). One class is a logistic margin of a 0/1 label, several are a softmax.
+
+    Splits and leaf weights of a tree come from row_share of the rows and feature_share of the
+    features, drawn by hashes; all rows are then routed through it.
+    """
     from brindle.functions import vec as V
     from brindle.session import written
 
     margins = rows.select("row_id", "label", F.array(*[F.lit(0.0)] * classes).alias("m"))
     out, losses = [], []
-    for _ in range(trees):
-        p = margins.withColumn("p", V.softmax(F.col("m")))
-        losses.append(p.agg(F.avg(-F.log(F.element_at("p", F.col("label") + 1)))).first()[0])
+    for t in range(trees):
+        if classes == 1:
+            p = margins.withColumn("p", F.transform("m", S.sigmoid))
+            loss, g = S.logistic_nll(F.col("m")[0], F.col("label").cast("double")), F.col("p") - F.col("label")
+            h = F.col("p") * (1 - F.col("p"))
+        else:
+            p = margins.withColumn("p", V.softmax(F.col("m")))
+            loss, g = -F.log(F.element_at("p", F.col("label") + 1)), F.col("p") - (F.col("label") == F.col("cls")).cast("double")
+            h = 2 * F.col("p") * (1 - F.col("p"))
+        losses.append(p.agg(F.avg(loss)).first()[0])
         flat = p.select("row_id", "label", F.posexplode("p").alias("cls", "p"))
-        g = F.col("p") - (F.col("label") == F.col("cls")).cast("double")
-        state = written(flat.select("row_id", "cls", F.lit(1).cast("bigint").alias("node"), g.alias("g"), (2 * F.col("p") * (1 - F.col("p"))).alias("h")), "state")
-        levels, leaves = grow(state, feats, depth)
+        state = written(flat.select("row_id", "cls", F.lit(1).cast("bigint").alias("node"), g.alias("g"), h.alias("h")), "state")
+        seen = state.filter(_kept(F.col("row_id"), t, row_share)) if row_share < 1 else state
+        known = feats.filter(_kept(F.col("fid"), t, feature_share)) if feature_share < 1 else feats
+        levels, leaves = grow(seen, known, depth)
         weights = written(node_totals(leaves).select("cls", "node", (leaf_weight(F.col("G"), F.col("H")) * lr).alias("weight")), "leaves")
+        if row_share < 1:
+            leaves = state
+            for splits in levels:
+                leaves = route(leaves, feats, splits)
         add = leaves.join(weights, ["cls", "node"]).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("cls", "weight"))).alias("w"))
-        moved = margins.join(add, "row_id").select("row_id", "label", F.transform("m", lambda v, i: v + F.coalesce(F.col("w")[i], F.lit(0.0))).alias("m"))
+        moved = margins.join(add, "row_id", "left").select("row_id", "label", F.transform("m", lambda v, i: v + F.coalesce(F.col("w")[i], F.lit(0.0))).alias("m"))
         margins = written(moved, "margins")
         out.append({"levels": levels, "leaves": weights})
     return out, losses, margins

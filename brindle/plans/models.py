@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import optim
 from brindle.functions import scalar as S
 from brindle.functions import vec as V
-from brindle.operators import boosting, deep, embedding, factorization, forest, mixtures, nets
+from brindle.operators import boosting, deep, embedding, factorization, forest, graph, mixtures, nets
 from brindle.plans.book import Book, mix_sql, unit_sql
 from brindle.plans.relational import doc_term, vocab
 from brindle.session import shared_dir, table, written
@@ -258,6 +258,15 @@ def gbm_importance(spark: SparkSession, d: str) -> DataFrame:
     return boosting.importance([{"levels": [boosting.best_split(boosting.split_search(*_gbm(spark, d)))]}])
 
 
+@query(None)
+def gbm_binary_train(spark: SparkSession, d: str) -> DataFrame:
+    """Two classes by one margin, trees over samples of rows and features."""
+    x = ads.dense(spark, d).select("row_id", (F.col("label") >= 5).cast("int").alias("label"), "x")
+    f = x.select("row_id", F.posexplode("x").alias("i", "val")).filter(F.abs("val") >= 0.02).select("row_id", (F.col("i") + 1).alias("fid"), "val")
+    _, _, margins = boosting.train(x.select("row_id", "label"), f, 1, 2, 3, row_share=0.7, feature_share=0.7)
+    return margins.select("row_id", "label", S.sigmoid(F.col("m")[0]).alias("p"))
+
+
 @query(None)
 def gbm_train(spark: SparkSession, d: str) -> DataFrame:
     x = ads.dense(spark, d)
@@ -484,19 +493,25 @@ def matmul(spark: SparkSession, d: str) -> DataFrame:
   SELECT step + 1, list_transform(range(1, 5), lambda i: w[i] - 0.5 * (1 / (1 + exp(-(w[1] * 0.1 + w[2] * 0.2 + w[3] * 0.3 + w[4] * 0.4 + b)))) * (i / 10)), b - 0.5 / (1 + exp(-(w[1] * 0.1 + w[2] * 0.2 + w[3] * 0.3 + w[4] * 0.4 + b))) FROM s WHERE step < 5)
   SELECT CAST(step AS INTEGER) AS step, round(ln(1 + exp(w[1] * 0.1 + w[2] * 0.2 + w[3] * 0.3 + w[4] * 0.4 + b)), 6) AS loss FROM s""")
 def dag_lr_step(spark: SparkSession, d: str) -> DataFrame:
-    """Matmul, add, sigmoid and logistic loss of one row with label 0 as a graph of expressions; six losses of five plain steps."""
-    x = F.array(*[F.lit(v) for v in (0.1, 0.2, 0.3, 0.4)])
-    logit = lambda s: V.dot(s["w"], x) + s["b"]
-
-    def move(s: Column, _: Column) -> Column:
-        e = F.lit(0.5) * S.sigmoid(logit(s))
-        b = s["b"] - e
-        return F.struct(F.zip_with(s["w"], x, lambda w, v: w - e * v).alias("w"), b.alias("b"))
-
-    start = F.struct(F.array(*[F.lit(float(v)) for v in (1, 2, 3, 4)]).alias("w"), F.lit(0.3).alias("b"))
-    steps = spark.range(6).select(F.col("id").cast("int").alias("step"))
-    last = F.aggregate(F.when(F.col("step") > 0, F.sequence(F.lit(1), F.col("step"))).otherwise(F.array().cast("array<int>")), start, move, lambda s: S.logistic_nll(logit(s), F.lit(0.0)))
-    return steps.select("step", F.round(last, 6).alias("loss"))
+    """Matmul, add and logistic loss of one row with label 0 as a graph; its losses before and after five plain steps."""
+    w, b = graph.trainable("w", [1.0, 2.0, 3.0, 4.0]), graph.trainable("b", [0.3])
+    x = graph.source(*[F.lit(v) for v in (0.1, 0.2, 0.3, 0.4)])
+    loss = graph.logistic_loss(graph.add(graph.matmul(w, x), b), graph.source(F.lit(0.0)))
+    _, losses = graph.train(spark.range(1), loss, 6, 0.5)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(losses)], "step int, loss double")
+
+
+@query(None)
+def dag_train(spark: SparkSession, d: str) -> DataFrame:
+    """A two-layer graph over events' values and hours, trained on purchases: its losses."""
+    e = table(spark, d, "events").select(((F.col("value") - 50) / 50).alias("a"), (F.hour("ts") / 24).alias("b"), (F.col("event_type") == "purchase").cast("double").alias("label"))
+    x, hidden = graph.source("a", "b"), []
+    for j in range(2):
+        h = graph.add(graph.matmul(graph.trainable(f"w{j}", [0.4 - j, 0.3 + j]), x), graph.trainable(f"b{j}", [0.1]))
+        hidden.append(graph.matmul(graph.activation(h, "tanh"), graph.trainable(f"v{j}", [0.5 - j])))
+    loss = graph.logistic_loss(graph.add(*hidden), graph.source("label"))
+    _, losses = graph.train(e, loss, 4, 0.5)
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double")
 
 
 # ---- full trainers: rows only, their convergence is tested

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import scalar as S
-from brindle.operators import boosting, deep, embedding, factorization, forest, knn, metrics, mixtures, nets
+from brindle.operators import boosting, deep, embedding, factorization, forest, graph, knn, metrics, mixtures, nets
 from brindle.plans.models import _cluster_rows, _gbm, _start
 from brindle.sources import ads
 from brindle.streaming import online
@@ -70,6 +70,37 @@ def test_boosting_reduces_loss_and_predict_agrees(spark, small):
         assert r["m"] == pytest.approx(a[r["row_id"]])
 
 
+def test_binary_boosting_over_samples(spark, small):
+    x = ads.dense(spark, small).filter("row_id < 200").cache()
+    f = _gbm(spark, small)[1].cache()
+    rows = x.select("row_id", (F.col("x")[0] > 0).cast("int").alias("label"))
+    forest_, losses, margins = boosting.train(rows, f, 1, 3, 2, row_share=0.7, feature_share=0.9)
+    assert losses[-1] < losses[0] and margins.count() == rows.count()
+    a = {r["row_id"]: r["m"] for r in margins.collect()}
+    assert all(r["m"] == pytest.approx(a[r["row_id"]]) for r in boosting.predict(rows, f, forest_, 1).collect())
+
+
+def test_graph_gradients_match_differences(spark):
+    rows = spark.createDataFrame([(0.3, -0.7, 1.0), (1.2, 0.4, 0.0), (-0.5, 0.9, 1.0)], "a double, b double, label double")
+    x, w, b = graph.source("a", "b"), graph.trainable("w", [0.4, -0.2]), graph.trainable("b", [0.1])
+    for kind in ("sigmoid", "tanh", "relu", "identity"):
+        h = graph.activation(graph.add(graph.matmul(w, x), b), kind)
+        for loss in (graph.logistic_loss(graph.multiply(h, b), graph.source("label")), graph.square_loss(h, graph.source("label"))):
+            p = {"w": [0.4, -0.2], "b": [0.1]}
+            _, g, n = graph.gradients(rows, loss, p)
+            assert n == 3
+            for name, k in (("w", 1), ("b", 0)):
+                moved = lambda e, name=name, k=k: {m: [v + (e if (m, i) == (name, k) else 0) for i, v in enumerate(vs)] for m, vs in p.items()}
+                up, down = (graph.gradients(rows, loss, moved(e))[0] for e in (1e-5, -1e-5))
+                assert (up - down) / 2e-5 == pytest.approx(g[name][k], abs=1e-5)
+    params, losses = graph.train(rows, loss, 4, 0.2)
+    assert losses[-1] < losses[0] and set(params) == {"w", "b"}
+    assert graph.train(rows.limit(0), loss, 2, 0.1)[1] == []
+    w.inputs.append(h)
+    with pytest.raises(ValueError):
+        graph.evaluate(h)
+
+
 NETS = {
     "cnn": (lambda: nets.cnn(8, 3), nets.softmax_loss, "label"),
     "rnn": (lambda: nets.rnn(8, 8, 5, 3), nets.softmax_loss, "label"),
