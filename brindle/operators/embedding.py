@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import default_parallelism
+
 
 def huffman(freq: list[int]) -> tuple[list[str], list[list[int]]]:
     """Code and path of inner nodes from the root of each word; a vocabulary has a fixed size. One word gets the code 0."""
@@ -36,6 +38,12 @@ def huffman(freq: list[int]) -> tuple[list[str], list[list[int]]]:
     return codes, paths
 
 
+#: Parameters in a block of those that tasks send; copies are averaged on the executors by block.
+PARAMETERS = 65_536
+#: Places of a document that are learnt from together.
+PLACES = 32
+
+
 def _sig(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -52,7 +60,12 @@ def cbow_train(docs: DataFrame, freq: list[int], dim: int = 16, epochs: int = 3,
     rng = np.random.default_rng(7)
     emb, inner, out = rng.uniform(-0.5, 0.5, (v, dim)) / dim, np.zeros((max(1, v - 1), dim)), np.zeros((v, dim))
     cum = np.cumsum(np.asarray(freq, float) ** 0.75)
-    bits = [1.0 - np.array([int(c) for c in code]) for code in codes]
+    deep = max(1, max((len(p) for p in paths), default=1))
+    path, bits, on = np.zeros((v, deep), np.int64), np.zeros((v, deep)), np.zeros((v, deep))
+    for i, (p, code) in enumerate(zip(paths, codes, strict=True)):
+        path[i, : len(p)], bits[i, : len(p)], on[i, : len(p)] = p, [1.0 - int(c) for c in code[: len(p)]], 1.0
+    spread = docs.select("doc_id", "wids").repartition(default_parallelism(docs.sparkSession))  # texts of few bytes would be coalesced into one task
+    around = np.array([o for o in range(-window, window) if o])
     losses: list[float] = []
     for epoch in range(epochs):
         rate, start = max(1e-4, lr * 0.96**epoch), (emb, inner, out)
@@ -66,30 +79,40 @@ def cbow_train(docs: DataFrame, freq: list[int], dim: int = 16, epochs: int = 3,
                         continue
                     ids = np.asarray(ids)
                     r = np.random.default_rng(int(doc) * 1000 + epoch)
-                    for i in range(len(ids)):
-                        ctx = np.concatenate([ids[max(0, i - window) : i], ids[i + 1 : i + window]])
-                        x, w, back = e[ctx].sum(axis=0), ids[i], np.zeros(dim)
-                        for rows, table, label in (
-                            (paths[w], hs, bits[w]),
-                            (np.append(w, np.searchsorted(cum, r.random(negatives) * cum[-1])), ns, np.append(1.0, np.zeros(negatives))),
-                        ):
+                    for at in range(0, len(ids), PLACES):
+                        w = ids[at : at + PLACES]
+                        near = np.arange(at, at + len(w))[:, None] + around
+                        there = ((near >= 0) & (near < len(ids))).astype(float)
+                        ctx = ids[np.clip(near, 0, len(ids) - 1)]
+                        x, back = (e[ctx] * there[:, :, None]).sum(axis=1), np.zeros((len(w), dim))
+                        drawn = np.searchsorted(cum, r.random((len(w), negatives)) * cum[-1])
+                        hit = np.zeros((len(w), negatives + 1))
+                        hit[:, 0] = 1.0
+                        for rows, table, label, mask in ((path[w], hs, bits[w], on[w]), (np.concatenate([w[:, None], drawn], axis=1), ns, hit, np.ones(hit.shape))):
                             u = table[rows]
-                            p = _sig(u @ x)
-                            g = rate * (label - p)
-                            back += g @ u
-                            np.add.at(table, rows, g[:, None] * x)
-                            total -= float(np.log(np.maximum(np.where(label > 0.5, p, 1 - p), 1e-12)).sum())
-                        e[ctx] += back
-                        n += 1
+                            p = _sig((u * x[:, None]).sum(axis=2))
+                            g = rate * (label - p) * mask
+                            back += (g[:, :, None] * u).sum(axis=1)
+                            np.add.at(table, rows, g[:, :, None] * x[:, None])
+                            total -= float((mask * np.log(np.maximum(np.where(label > 0.5, p, 1 - p), 1e-12))).sum())
+                        np.add.at(e, ctx, back[:, None] * there[:, :, None])
+                        n += len(w)
             if n:
-                yield pd.DataFrame({"n": [n], "loss": [total], "p": [np.concatenate([a.ravel() for a in (e, hs, ns)]).tobytes()]})
+                flat = np.concatenate([a.ravel() for a in (e, hs, ns)]) * n
+                cut = [flat[i : i + PARAMETERS].tobytes() for i in range(0, len(flat), PARAMETERS)]
+                yield pd.DataFrame({"block": [-1, *range(len(cut))], "n": [n] + [0] * len(cut), "loss": [total] + [0.0] * len(cut), "p": [b"", *cut]})
+
+        def weighed(f: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(p) for p in f["p"])
+            return pd.DataFrame({"block": f["block"].iloc[:1], "n": [f["n"].sum()], "loss": [f["loss"].sum()], "p": [np.asarray(total).tobytes()]})
 
-        got = docs.select("doc_id", "wids").mapInPandas(work, "n bigint, loss double, p binary").collect()
-        n = sum(r["n"] for r in got)
-        if not n:
+        copies = spread.mapInPandas(work, "block int, n bigint, loss double, p binary")
+        got = sorted(copies.groupBy("block").applyInPandas(weighed, "block int, n bigint, loss double, p binary").collect(), key=lambda r: r["block"])
+        if not got:
             break
-        losses.append(sum(r["loss"] for r in got) / n)
-        flat = sum(np.frombuffer(r["p"]) * (r["n"] / n) for r in got)
+        n = got[0]["n"]
+        losses.append(got[0]["loss"] / n)
+        flat = np.concatenate([np.frombuffer(r["p"]) for r in got[1:]]) / n
         a, b = emb.size, emb.size + inner.size
         emb, inner, out = flat[:a].reshape(emb.shape), flat[a:b].reshape(inner.shape), flat[b:].reshape(out.shape)
     return emb / np.maximum(np.sqrt((emb * emb).sum(axis=1, keepdims=True)), 1e-12), losses

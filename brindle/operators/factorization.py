@@ -43,14 +43,20 @@ def forward(rows: DataFrame, params: DataFrame, k: int) -> DataFrame:
 
 
 def gradients(rows: DataFrame, params: DataFrame, k: int, l2: float = 1e-3) -> DataFrame:
-    """(fid, gw, gv): gradient sums, each row's own decay included."""
-    scored = forward(rows, params, k).select("row_id", "p", "s")
-    x = rows.join(scored, "row_id").join(params.select("fid", "w", "v"), "fid")
-    e, val = F.col("p") - F.col("label"), F.col("val")
-    gv = [F.sum(e * val * (F.col("s")[f] - F.col("v")[f] * val) + F.lit(l2) * F.col("v")[f]) for f in range(k)]
-    return x.groupBy("fid").agg(
-        F.sum(e * val + F.lit(l2) * F.col("w")).alias("gw"), (F.array(*gv) if k else F.array().cast("array<double>")).alias("gv")
-    )
+    """(fid, gw, gv): gradient sums, each row's own decay included.
+
+    A row's features are gathered with their parameters while its sums are taken (a row is
+    small), so rows and parameters are joined once and shuffled by row and by feature once.
+    """
+    val, v = F.col("val"), F.col("v")
+    x = rows.join(params.select("fid", "w", "v"), "fid")
+    sums = [F.sum(v[f] * val).alias(f"s{f}") for f in range(k)] + [F.sum(F.pow(v[f] * val, 2)).alias(f"q{f}") for f in range(k)]
+    t = x.groupBy("row_id", "label").agg(F.sum(F.col("w") * val).alias("wx"), *sums, F.collect_list(F.struct("fid", "val", "w", "v")).alias("features"))
+    logit = F.col("wx") + sum((F.pow(F.col(f"s{f}"), 2) - F.col(f"q{f}") for f in range(k)), F.lit(0.0)) / 2
+    t = t.select((S.sigmoid(logit) - F.col("label")).alias("e"), *[f"s{f}" for f in range(k)], F.inline("features"))
+    e = F.col("e")
+    gv = [F.sum(e * val * (F.col(f"s{f}") - v[f] * val) + F.lit(l2) * v[f]) for f in range(k)]
+    return t.groupBy("fid").agg(F.sum(e * val + F.lit(l2) * F.col("w")).alias("gw"), (F.array(*gv) if k else F.array().cast("array<double>")).alias("gv"))
 
 
 def step(params: DataFrame, grads: DataFrame, k: int, lr: float, batch: int) -> DataFrame:
@@ -75,10 +81,9 @@ def train(rows: DataFrame, k: int, epochs: int, lr: float = 0.1, l2: float = 1e-
 
 def ffm_initial(rows: DataFrame, k: int) -> DataFrame:
     """(fid, field, v): a vector of every feature for every field."""
-    fields = rows.select("field").distinct()
     u = lambda f: (S.hash_unit(F.col("fid") + 10000 * (F.col("field") + 1) + 1000000 * (f + 1)) - 0.5) / (k**0.5)
-    # fields are few; each feature is exploded over them
-    names = sorted(r[0] for r in fields.limit(10_000).collect())
+    # fields are the columns of a form, all of them; each feature is exploded over their list
+    names = sorted(r[0] for r in rows.select("field").filter("field IS NOT NULL").distinct().collect())
     all_fields = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<int>")
     return rows.select("fid").distinct().select("fid", F.explode(all_fields).alias("field")).select("fid", "field", F.array(*[u(f) for f in range(k)]).cast("array<double>").alias("v"))
 
@@ -106,16 +111,22 @@ def ffm_forward(pairs: DataFrame, params: DataFrame, k: int) -> DataFrame:
 
 
 def ffm_step(pairs: DataFrame, params: DataFrame, k: int, lr: float, l2: float = 1e-3) -> DataFrame:
-    """One plain gradient step of the field-aware vectors, each row's own decay included, mean over rows."""
-    scored = ffm_forward(pairs, params, k)
-    n = max(1, scored.count())
+    """One plain gradient step of the field-aware vectors, each row's own decay included, mean over rows.
+
+    A row's pairs are gathered with their vectors while it is scored, so pairs and vectors are
+    joined once; a pair gives the gradients of both of its vectors.
+    """
+    n = max(1, pairs.select("row_id").distinct().count())
     a = params.select(F.col("fid").alias("fid_i"), F.col("field").alias("fj"), F.col("v").alias("a"))
     b = params.select(F.col("fid").alias("fid_j"), F.col("field").alias("fi"), F.col("v").alias("b"))
-    x = pairs.join(scored.select("row_id", "p"), "row_id").join(a, ["fid_i", "fj"]).join(b, ["fid_j", "fi"])
-    e = (F.col("p") - F.col("label")) * F.col("xx")
-    one = x.select(F.col("fid_i").alias("fid"), F.col("fj").alias("field"), F.zip_with("a", "b", lambda u, w: e * w + F.lit(l2) * u).alias("g"))
-    two = x.select(F.col("fid_j").alias("fid"), F.col("fi").alias("field"), F.zip_with("b", "a", lambda u, w: e * w + F.lit(l2) * u).alias("g"))
-    g = one.unionByName(two).groupBy("fid", "field").agg(*[F.sum(F.col("g")[f]).alias(f"g{f}") for f in range(k)])
+    x = pairs.join(a, ["fid_i", "fj"]).join(b, ["fid_j", "fi"])
+    term = sum((F.col("a")[f] * F.col("b")[f] for f in range(k)), F.lit(0.0)) * F.col("xx")
+    t = x.groupBy("row_id", "label").agg(F.sum(term).alias("logit"), F.collect_list(F.struct("fid_i", "fj", "fid_j", "fi", "xx", "a", "b")).alias("pairs"))
+    t = t.select((S.sigmoid(F.col("logit")) - F.col("label")).alias("e"), F.inline("pairs"))
+    e = F.col("e") * F.col("xx")
+    side = lambda fid, field, own, other: F.struct(F.col(fid).alias("fid"), F.col(field).alias("field"), *[(e * F.col(other)[f] + F.lit(l2) * F.col(own)[f]).alias(f"g{f}") for f in range(k)])
+    both = t.select(F.inline(F.array(side("fid_i", "fj", "a", "b"), side("fid_j", "fi", "b", "a"))))
+    g = both.groupBy("fid", "field").agg(*[F.sum(f"g{f}").alias(f"g{f}") for f in range(k)])
     y = params.join(g, ["fid", "field"], "left")
     return y.select("fid", "field", F.array(*[F.col("v")[f] - F.lit(lr / n) * F.coalesce(f"g{f}", F.lit(0.0)) for f in range(k)]).alias("v"))
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are sent to the executors at a time.
-BLOCK = 4096
+#: Query vectors that are sent to the executors at a time, and those compared with a batch at a time.
+BLOCK, AT_ONCE = 65_536, 2048
 
 
 def topk_scores(data: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -31,11 +31,15 @@ def topk_scores(data: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
                 keep = [i for i, n in enumerate(b.column(1).value_lengths().to_pylist()) if n == q.shape[1]]
                 rid = b.column(0).to_numpy(zero_copy_only=False)[keep]
                 x = b.column(1).take(pa.array(keep, pa.int64())).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
-                s = np.round(q @ x.T, digits)
-                s[ids[:, None] == rid[None]] = -np.inf
-                best_s, best_i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.tile(rid, (len(ids), 1))], axis=1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+                merged = []
+                for at in range(0, len(ids), AT_ONCE):
+                    part = slice(at, at + AT_ONCE)
+                    s = np.round(q[part] @ x.T, digits)
+                    s[ids[part, None] == rid[None]] = -np.inf
+                    all_s, all_i = np.concatenate([best_s[part], s], axis=1), np.concatenate([best_i[part], np.tile(rid, (len(s), 1))], axis=1)
+                    order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+                    merged.append((np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)))
+                best_s, best_i = np.concatenate([m[0] for m in merged]), np.concatenate([m[1] for m in merged])
             r, c = np.nonzero(np.isfinite(best_s))
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(best_i[r, c].astype(np.int64)), pa.array(best_s[r, c])], names=["query", "row_id", "score"])
 

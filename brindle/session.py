@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    folder = tempfile.mkdtemp(prefix="brindle-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    found = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 

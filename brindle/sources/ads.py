@@ -67,6 +67,42 @@ def write_scores(scored: DataFrame, path: str) -> None:
     scored.select("row_id", "p").write.mode("overwrite").parquet(path)
 
 
+def write_vectors(vectors: DataFrame, path: str, name: str, value: str) -> None:
+    """``name v v v`` lines of embeddings, code words or topic weights; codes and clusters are written the same way."""
+    line = F.concat_ws(" ", F.col(name).cast("string"), F.array_join(F.col(value).cast("array<string>"), " "))
+    vectors.filter(F.col(name).isNotNull() & F.col(value).isNotNull()).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, x ARRAY<DOUBLE>): the inverse of write_vectors. A value that is no number makes its line's vector null."""
+    parts = F.split("value", " ")
+    x = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
+    return spark.read.text(path).select(parts[0].alias("name"), F.when(~F.exists(x, lambda v: v.isNull()), x).alias("x"))
+
+
+def write_mixture(model: list[tuple], spark: SparkSession, path: str) -> None:
+    """(cluster, weight, mu, sigma2) of a mixture as a table."""
+    spark.createDataFrame(model, "cluster int, weight double, mu array<double>, sigma2 array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_mixture(spark: SparkSession, path: str) -> list[tuple]:
+    return [(r["cluster"], r["weight"], r["mu"], r["sigma2"]) for r in spark.read.parquet(path).orderBy("cluster").collect()]
+
+
+def read_vocab(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(wid, word, freq) of ``id word freq`` lines, where a word may hold blanks; ids below most only.
+
+    Raises ValueError where a word is more frequent than the one before it.
+    """
+    part = lambda i: F.regexp_extract("value", r"^(\d+) (.*) (\d+)$", i)
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"^\d+ .* \d+$")).select(part(1).cast("int").alias("wid"), part(2).alias("word"), part(3).cast("bigint").alias("freq"))
+    rows = rows.filter(F.col("wid") < most) if most is not None else rows
+    before = rows.select((F.col("wid") + 1).alias("wid"), F.col("freq").alias("last"))
+    if not rows.join(before, "wid").filter("freq > last").isEmpty():
+        raise ValueError("frequencies must not increase")
+    return rows
+
+
 def ad_rows(spark: SparkSession, d: str) -> DataFrame:
     """events as ad rows (row_id, label, features): user, hour, k and value buckets as fields 0 to 3; a purchase is a click."""
     e = table(spark, d, "events")

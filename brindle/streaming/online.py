@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ def push_gradients(stream: DataFrame, state_dir: str, checkpoint: str, lr_alpha:
         new = held.join(g, "fid", "left")
         step = optim.ftrl(F.col("w"), F.col("n"), F.col("z"), F.col("g"), alpha=lr_alpha, l1=0.1)
         new.select("fid", *[F.when(F.col("g").isNull(), F.col(c)).otherwise(step[c]).alias(c) for c in ("w", "n", "z")]).write.mode("overwrite").parquet(f"{state_dir}/{number}")
+        spark.createDataFrame([(number,)], "number bigint").write.mode("overwrite").parquet(f"{state_dir}/last")
 
     q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -37,10 +36,19 @@ def push_gradients(stream: DataFrame, state_dir: str, checkpoint: str, lr_alpha:
 
 def latest(spark: SparkSession, state_dir: str) -> DataFrame:
     """The parameter table of the last batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbers = [int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()]
-    return spark.read.parquet(os.path.join(state_dir, str(max(numbers))))
+    number = spark.read.schema("number bigint").parquet(f"{state_dir}/last").first()["number"]
+    return spark.read.parquet(f"{state_dir}/{number}")
+
+
+def matched(left: DataFrame, right: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Inner join of two streams (user_id, event_id, ts): events of the right no more than ``within`` before those of the left.
+
+    Watermarks and the bound on times let the state of either side be dropped.
+    """
+    one = left.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("t")).withWatermark("t", late)
+    two = right.select(F.col("user_id").alias("user"), F.col("event_id").alias("before_id"), F.col("ts").cast("timestamp").alias("before")).withWatermark("before", late)
+    near = (F.col("user_id") == F.col("user")) & (F.col("before") <= F.col("t")) & (F.col("before") >= F.col("t") - F.expr(f"INTERVAL {within}"))
+    return one.join(two, near).select("event_id", "before_id")
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
