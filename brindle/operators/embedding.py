@@ -41,7 +41,7 @@ def huffman(freq: list[int]) -> tuple[list[str], list[list[int]]]:
 #: Parameters in a block of those that tasks send; copies are averaged on the executors by block.
 PARAMETERS = 65_536
 #: Places of a document that are learnt from together.
-PLACES = 32
+PLACES = 16
 
 
 def _sig(x: np.ndarray) -> np.ndarray:

@@ -60,3 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def default_parallelism(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: shuffled once if it is read in fewer parts than there are cores, as one small file is; else as it is."""
+    cores = default_parallelism(df.sparkSession)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -206,7 +206,7 @@ def test_huffman_is_prefix_free_and_short():
 def test_words_used_together_come_close(spark):
     rng = np.random.default_rng(1)
     docs = [(i, [int(v) for v in rng.integers(0, 5, 40) + 5 * (i % 2)]) for i in range(60)]
-    vectors, losses = embedding.cbow_train(spark.createDataFrame(docs, "doc_id bigint, wids array<int>"), [240] * 10, dim=8, epochs=4, negatives=4, lr=0.2)
+    vectors, losses = embedding.cbow_train(spark.createDataFrame(docs, "doc_id bigint, wids array<int>"), [240] * 10, dim=8, epochs=5, negatives=4, lr=0.02)
     assert losses[-1] < losses[0] and np.allclose((vectors**2).sum(axis=1), 1)
     s = vectors @ vectors.T
     assert s[:5, :5].mean() > s[:5, 5:].mean() and s[5:, 5:].mean() > s[:5, 5:].mean()
