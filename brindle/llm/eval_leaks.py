@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.subtitles import cues, fold
+from brindle.session import spread
 
 #: A number, of digits and the letters taken for them.
 NUMBER = re.compile(r"(?=.*\d)[0-9oOlI|sS]+$")
@@ -468,7 +469,7 @@ def leaks(
     without words, match nothing; items with a null id are left out; documents with a null id
     are reported with it. Repeated items under one id are one item each and may repeat a row.
     """
-    texts = documents.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = spread(documents.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     wanted = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text).alias("t")).na.drop()
     out, feed = None, wanted.toLocalIterator()
     rows = list(islice(feed, BLOCK))

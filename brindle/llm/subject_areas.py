@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.subtitles import cues, fold
-from brindle.session import written
+from brindle.session import spread, written
 
 #: Words with topics of their own: those in most files, at least in so many; all others share BUCKETS slots by their numbers.
 MOST_WORDS, LEAST_FILES, BUCKETS = 131_072, 3, 4096
@@ -70,7 +70,7 @@ def cue_words(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "te
             make = lambda off, x: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), make(t_off, terms), make(e_off, ends)], names=["doc_id", "terms", "ends"])
 
-    return documents.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, WORDS)
+    return spread(documents.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(work, WORDS)
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
