@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import table
+from brindle.session import spread, table
 
 SPARSE = "row_id bigint, label int, pos int, field int, fid bigint, val double"
 
@@ -139,7 +139,7 @@ DENSE_SQL = "dense AS (SELECT vec_id AS row_id, label, CAST(embedding AS DOUBLE[
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     """documents as (doc_id, pos, word): maximal runs of letters of any script, lower-cased, as the text lies."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("pos", "word"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("pos", "word"))
 
 
 WORDS_SQL = r"""raw AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
